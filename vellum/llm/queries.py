@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, quality, simhash, substring, tokenfile, toxicity
+from . import chat, decontam, langid, mixing, pii, quality, simhash, substring, tokenfile, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,20 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.write_formatted(turns.unionByName(probe)))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.weighed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "mix_topic", F.round("mix_p", 6).alias("mix_p"), F.round("mix_weight", 6).alias("mix_weight"), "mix_kept")
+
+
+#: The key of the registered query; real runs pass their own.
+PII_KEY = "vellum example key"
+
+
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymised(docs, PII_KEY)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_file": op2_token_file,
@@ -70,6 +84,10 @@ QUERIES: dict[str, Query] = {
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_chat_format": op8_chat_format,
+    "op9_mixing": op9_mixing,
+    "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_mixing": f"{mixing.sql()}\nselect doc_id, topic as mix_topic, round(mix_p, 6) as mix_p, round(mix_ratio / mix_p, 6) as mix_weight, mix_u < mix_p as mix_kept from m",
+}
