@@ -1,9 +1,9 @@
 """Removal of repeated passages by compaction of a de Bruijn graph over the corpus.
 
 A window of 20 consecutive words is an edge of the graph.  Windows that follow each other
-and share the least hash among their stretches of ten words (their anchor) form a segment; an
+and share the least hash among their stretches of six words (their anchor) form a segment; an
 anchor lies at the same place in every occurrence of a window, so equal windows always meet
-under one anchor, and six windows on average cost one row.
+under one anchor, and eight windows on average cost one row.
 
 1. Count the anchors; those seen once carry no repeat and go.
 2. An anchor whose segments are all alike is unbranched: its windows repeat together.
@@ -26,7 +26,7 @@ space, unchanged; other columns are ignored; an empty table gives an empty resul
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,42 +38,55 @@ from pyspark.sql import functions as F
 from .common import discard, release, small_batches, staged
 
 WINDOW = 20
-ANCHOR = 10
+ANCHOR = 6
 MEMO_WORDS = 500_000
+#: Texts are hashed in groups of about this many characters.
+GROUP_CHARS = 1 << 18
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Words(dict):
-    """Word to its index in two growing tables of 64-bit hashes."""
+    """Word to its place in two growing tables of 64-bit hashes."""
 
     def __init__(self):
         super().__init__()
-        self.low, self.high = [], []
+        self.low, self.high = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_128_intdigest(word)
-        self.low.append(h & (1 << 64) - 1)
-        self.high.append(h >> 64)
-        self[word] = n = len(self.low) - 1
+        h, n = xxhash.xxh3_128_digest(word), len(self)
+        if n == len(self.low):
+            self.low, self.high = np.concatenate((self.low, self.low)), np.concatenate((self.high, self.high))
+        self.high[n], self.low[n] = int.from_bytes(h[:8], "big"), int.from_bytes(h[8:], "big")
+        self[word] = n
         return n
 
 
 class Hasher:
     def __init__(self):
-        self.words, self.tables = _Words(), (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        self.words = _Words()
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Both hashes of each word of a text."""
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes of the words of all texts, one after the other, and each text's number of words."""
         if len(self.words) > MEMO_WORDS:
-            self.words, self.tables = _Words(), (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-        split = (text or "").encode("utf-8", "surrogatepass").split()
-        at = np.fromiter(map(self.words.__getitem__, split), np.int64, len(split))
-        have = len(self.tables[0])
-        if len(self.words.low) > have:
-            new = (np.array(x[have:], np.uint64) for x in (self.words.low, self.words.high))
-            room = [np.concatenate((old, x)) for old, x in zip(self.tables, new, strict=True)]
-            self.tables = (room[0], room[1])
-        return self.tables[0][at], self.tables[1][at]
+            self.words = _Words()
+        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        return self.words.low[at], self.words.high[at], sizes
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of the batches (doc_id, text, ...) in groups of about GROUP_CHARS characters."""
+    rows, n = [], 0
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            rows.append((row[0].as_py(), row[1].as_py(), *row[2:]))
+            n += len(rows[-1][1] or "")
+            if n >= GROUP_CHARS:
+                yield rows
+                rows, n = [], 0
+    if rows:
+        yield rows
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -93,8 +106,11 @@ def stretch(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
     return _mixed(out)
 
 
-def segments(low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a document's word hashes: each segment's anchor hash, first window, number of windows."""
+def segments(low: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the word hashes of some texts: each segment's anchor hash, first window, number of windows.
+
+    Windows are numbered by their first word over all the texts; none reaches from one into the next.
+    """
     n = len(low) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -107,8 +123,13 @@ def segments(low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(span - 2, -1, -1):
         at[a[k : k + n] == least] = k
     at += np.arange(n)
-    starts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    return a[at[starts]], starts, np.diff(np.concatenate((starts, [n])))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    whole = text[:n] == text[WINDOW - 1 :]
+    new = whole.copy()
+    new[1:] &= (at[1:] != at[:-1]) | ~whole[:-1]
+    starts = np.flatnonzero(new)
+    owner = np.cumsum(new)[whole] - 1
+    return a[at[starts]], starts, np.bincount(owner, minlength=len(starts))
 
 
 def windows(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,21 +143,18 @@ def _keys(w: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
-    for batch in batches:
-        docs, anchors, keys, counts = [], [], [], []
-        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-            low, _ = hasher.of(text.as_py())
-            a, starts, sizes = segments(low)
-            if len(a):
-                both = np.stack((a, _keys(stretch(low, WINDOW, _P1), starts, sizes)), axis=1)
-                both = both[np.lexsort((both[:, 1], both[:, 0]))]
-                new = np.flatnonzero(np.concatenate(([True], (both[1:] != both[:-1]).any(axis=1))))
-                docs.append(np.full(len(new), doc.as_py()))
-                anchors.append(both[new, 0])
-                keys.append(both[new, 1])
-                counts.append(np.diff(np.concatenate((new, [len(both)]))))
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(counts).astype(np.int32))], ["anchor", "key", "doc_id", "n"])
+    for rows in groups(batches):
+        low, _, words = hasher.of([r[1] for r in rows])
+        a, starts, sizes = segments(low, words)
+        if not len(a):
+            continue
+        row = np.searchsorted(np.cumsum(words), starts, side="right")
+        key = _keys(stretch(low, WINDOW, _P1), starts, sizes)
+        order = np.lexsort((key, a, row))
+        a, key, row = a[order], key[order], row[order]
+        new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))
+        docs = np.array([r[0] for r in rows], np.int64)[row[new]]
+        yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(key[new].view(np.int64)), pa.array(docs), pa.array(np.diff(np.concatenate((new, [len(a)]))).astype(np.int32))], ["anchor", "key", "doc_id", "n"])
 
 
 _FOUND = "anchor long, k1 long, k2 long, doc_id long, start int, size int, before long, after long"
@@ -145,32 +163,35 @@ _FOUND = "anchor long, k1 long, k2 long, doc_id long, start int, size int, befor
 def _found_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the documents' repeated anchors: unbranched segments, with their neighbours' keys; single windows (size 0) of the others."""
     hasher = Hasher()
-    for batch in batches:
-        out: list[list[np.ndarray]] = [[] for _ in range(8)]
-        for doc, text, plain, forked in zip(*(batch.column(i) for i in range(4)), strict=True):
-            low, high = hasher.of(text.as_py())
-            a, starts, sizes = segments(low)
-            if not len(a):
-                continue
-            w1, w2 = windows(low, high)
-            k1, k2 = _keys(w1, starts, sizes), _keys(w2, starts, sizes)
-            straight = np.isin(a, np.asarray(plain.values.to_numpy(), np.int64).view(np.uint64))
-            before = np.where(straight[:-1], k1[:-1], np.uint64(0))
-            after = np.where(straight[1:], k1[1:], np.uint64(0))
-            before, after = np.concatenate((np.zeros(1, np.uint64), before)), np.concatenate((after, np.zeros(1, np.uint64)))
-            for o, v in zip(out, (a, k1, k2, None, starts, sizes, before, after), strict=True):
-                o.append(np.full(int(straight.sum()), doc.as_py()) if v is None else v[straight])
-            branch = np.isin(a, np.asarray(forked.values.to_numpy(), np.int64).view(np.uint64))
-            if branch.any():
-                at = np.repeat(branch, sizes)
-                pos, zero = np.flatnonzero(at), np.zeros(int(at.sum()), np.uint64)
-                for o, v in zip(out, (zero, w1[at], w2[at], np.full(len(pos), doc.as_py()), pos, zero, zero, zero), strict=True):
-                    o.append(v)
-        if out[0]:
-            types = [np.int64] * 4 + [np.int32] * 2 + [np.int64] * 2
-            columns = [np.concatenate(o) for o in out]
-            columns = [c.view(t) if c.dtype == np.uint64 and t is np.int64 else c.astype(t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in _FOUND.split(", ")])
+    for rows in groups(batches):
+        low, high, words = hasher.of([r[1] for r in rows])
+        a, starts, sizes = segments(low, words)
+        if not len(a):
+            continue
+        w1, w2 = windows(low, high)
+        k1, k2 = _keys(w1, starts, sizes), _keys(w2, starts, sizes)
+        ends = np.cumsum(words)
+        row, docs = np.searchsorted(ends, starts, side="right"), np.array([r[0] for r in rows], np.int64)
+        begin = ends - words
+        straight, branch = np.zeros(len(a), bool), np.zeros(len(a), bool)
+        cuts = np.searchsorted(row, np.arange(len(rows) + 1))
+        for (_, _, plain, forked), s, e in zip(rows, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            straight[s:e] = np.isin(a[s:e], plain.values.to_numpy().view(np.uint64))
+            branch[s:e] = np.isin(a[s:e], forked.values.to_numpy().view(np.uint64))
+        tied = straight[:-1] & straight[1:] & (row[:-1] == row[1:])
+        none = np.zeros(1, np.uint64)
+        before = np.concatenate((none, np.where(tied, k1[:-1], none)))
+        after = np.concatenate((np.where(tied, k1[1:], none), none))
+        at = np.repeat(starts[branch], sizes[branch])
+        at += np.arange(len(at)) - np.repeat(np.cumsum(sizes[branch]) - sizes[branch], sizes[branch])
+        owner, zero = np.repeat(row[branch], sizes[branch]), np.zeros(len(at), np.uint64)
+        parts = (
+            (a[straight], zero), (k1[straight], w1[at]), (k2[straight], w2[at]), (docs[row[straight]], docs[owner]),
+            (starts[straight] - begin[row[straight]], at - begin[owner]), (sizes[straight], zero), (before[straight], zero), (after[straight], zero),
+        )
+        types = [np.int64] * 4 + [np.int32] * 2 + [np.int64] * 2
+        columns = [np.concatenate([x.view(t) if x.dtype == np.uint64 and t is np.int64 else x.astype(t) for x in pair]) for pair, t in zip(parts, types, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in _FOUND.split(", ")])
 
 
 def _with_text(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
