@@ -37,7 +37,8 @@ MAGIC = b"VDAC"
 BLOCK_BITS = 512
 #: Texts are tokenized in groups of about this many characters.
 GROUP_CHARS = 1 << 18
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 1_000_000
+JOINED_RUNS = 2000
 
 # ---- the code ---------------------------------------------------------------------------
 
@@ -97,7 +98,8 @@ class Reader:
 # ---- tokenizing -------------------------------------------------------------------------
 
 _CHUNK = re.compile(r"[ \n\t\r]+[^ \n\t\r]*|[^ \n\t\r]+")
-#: White space or separators of other kinds: such a text is given to the tokenizer whole.
+_BLANK = frozenset(" \n\t\r")
+#: White space or separators of other kinds: a text with them is given to the tokenizer whole.
 _ODD = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\x0b\x0c\x85]")
 
 
@@ -105,26 +107,53 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     The tokenizer never joins characters across the start of a run of white space, so a text
-    may be encoded run by run; each distinct run is given to the library once.
+    may be encoded run by run.  Each distinct run is given to the library once, many at a time
+    in one string; the bytes that each token stands for tell where one run ends.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes | None] = {}
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.sizes[i] = len(token)  # one character of the vocabulary file is one byte
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.sizes[i] = len(token.content.encode())
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, runs: list[str]) -> None:
+        """Memorise the ids of new runs; None for those that may not stand alone."""
+        odd = [r for r in runs if _ODD.search(r)] if _ODD.search("".join(runs)) else []
+        self.memo.update(dict.fromkeys(odd))
+        left = set(odd)
+        inner = [r for r in runs if r[0] in _BLANK and r[-1] not in _BLANK and r not in left]
+        edge = [r for r in runs if (r[0] not in _BLANK or r[-1] in _BLANK) and r not in left]
+        self.memo.update(zip(edge, self._encode(edge), strict=True))
+        for i in range(0, len(inner), JOINED_RUNS):
+            part = inner[i : i + JOINED_RUNS]
+            [raw] = self._encode(["".join(part)])
+            ends = np.cumsum(np.fromiter((len(r.encode()) for r in part), np.int64, len(part)))
+            cuts = (4 * (np.searchsorted(np.cumsum(self.sizes[np.frombuffer(raw, "<u4")]), ends) + 1)).tolist()
+            self.memo.update(zip(part, (raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)), strict=True))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
+        split = [_CHUNK.findall(t) for t in texts]
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
         memo = self.memo
-        new = list({c for chunks in split if chunks for c in chunks if c not in memo})
-        memo.update(zip(new, self._encode(new), strict=True))
-        return [np.frombuffer(self._encode([t])[0] if chunks is None else b"".join(map(memo.__getitem__, chunks)), "<u4") for t, chunks in zip(texts, split, strict=True)]
+        if new := set().union(*split).difference(memo):
+            self._learn(list(new))
+        out = []
+        for text, runs in zip(texts, split, strict=True):
+            try:
+                out.append(np.frombuffer(b"".join(map(memo.__getitem__, runs)), "<u4"))
+            except TypeError:  # a run that may not stand alone
+                out.append(np.frombuffer(self._encode([text])[0], "<u4"))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
