@@ -97,6 +97,8 @@ def with_breaks(glyphs: DataFrame, options: Options = Options()) -> DataFrame:
     base = base.withColumn("_along", (x * F.col("dx") + y * F.col("dy")) / size).withColumn("_across", (y * F.col("dx") - x * F.col("dy")) / size)
     logical = ((F.col("x") - F.col("_lag_x")) * F.col("dx") + (F.col("y") - F.col("_lag_y")) * F.col("dy")) / size + F.col("adv")
     first = F.col("_pen_x").isNull()
+    if "after_image" in glyphs.columns:  # an image ends the block
+        first = first | F.col("after_image")
     turned = (F.col("wmode") != F.col("_wmode")) | (F.col("dx") * F.col("_dx") + F.col("dy") * F.col("_dy") < SAME_DIRECTION)
     off, along, rtl = F.abs("_across"), F.col("_along"), F.col("bidi") % 2 == 1
     base = base.withColumn("_logical", logical)
