@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import copy
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from ..functions.geometry import Matrix, Rect
@@ -183,6 +184,9 @@ class Interpreter:
 
     # ---- streams ----
 
+    def _operations(self, data: bytes) -> Iterator[tuple[str, list]]:
+        return operations(data)
+
     def _stream(self, data: bytes, resources: dict, state: State, depth: int) -> None:
         self.out.runs += 1
         if depth > MAX_DEPTH or self.out.runs > MAX_RUNS:
@@ -194,7 +198,7 @@ class Interpreter:
         here = (0.0, 0.0)
         num = lambda ops, n: [float(x) for x in ops[-n:]] if len(ops) >= n and all(isinstance(x, (int, float)) for x in ops[-n:]) else None
 
-        for op, ops in operations(data):
+        for op, ops in self._operations(data):
             if op == "BT":
                 inside, tm, tlm, st.bidi, self.out.new_obj = True, Matrix(), Matrix(), 0, True
             elif op == "ET":
@@ -298,9 +302,10 @@ class Interpreter:
 
     # ---- text ----
 
-    def _show(self, raw: bytes, st: State, tm: Matrix, actual: list[list[int]]) -> Matrix:
+    def _placed(self, raw: bytes, st: State, tm: Matrix) -> tuple[list[tuple[int, int, float, Matrix]], Matrix]:
+        """Codes of a shown string with their length, advance and place, and the text matrix after them."""
         font = st.font or pdffont.Font(widths={})
-        shown = []
+        out = []
         for code, n in font.codes(raw):
             adv = font.advance(code)
             at = Matrix(st.size * st.scale, 0, 0, st.size, 0, st.rise) * tm * st.ctm
@@ -311,8 +316,13 @@ class Interpreter:
                 tm = Matrix(1, 0, 0, 1, 0, -(adv * st.size + extra)) * tm
             else:
                 tm = Matrix(1, 0, 0, 1, (adv * st.size + extra) * st.scale, 0) * tm
-            wide = adv + extra / st.size if abs(st.size) > 0.001 else adv
-            shown.append((font.characters(code), wide, at))
+            out.append((code, n, adv + extra / st.size if abs(st.size) > 0.001 else adv, at))
+        return out, tm
+
+    def _show(self, raw: bytes, st: State, tm: Matrix, actual: list[list[int]]) -> Matrix:
+        font = st.font or pdffont.Font(widths={})
+        placed, tm = self._placed(raw, st, tm)
+        shown = [(font.characters(code), wide, at) for code, _, wide, at in placed]
         told = actual[-1] if actual else []
         if not told:
             for seq, adv, at in shown:
@@ -422,7 +432,10 @@ class Interpreter:
                 inner.ctm = Matrix(*map(float, v)) * st.ctm
             own = self.doc.dict_of(got.info.get("Resources"))
             merged = {**resources, **{k: {**self.doc.dict_of(resources.get(k)), **self.doc.dict_of(x)} if isinstance(self.doc.get(x), dict) else x for k, x in own.items()}}
-            self._stream(self.doc.decoded(got), merged, inner, depth + 1)
+            self._form(ref, got, merged, inner, depth + 1)
+
+    def _form(self, ref, got: Stream, resources: dict, st: State, depth: int) -> None:
+        self._stream(self.doc.decoded(got), resources, st, depth)
 
     def _image(self, ref, got: Stream, name: str, resources: dict, st: State) -> None:
         info, get = got.info, self.doc.get

@@ -113,8 +113,8 @@ class Lexer:
         return bytes(out)
 
 
-def operations(data: bytes) -> Iterator[tuple[str, list]]:
-    """Operators of a content stream with their operands; inline images are skipped."""
+def operations(data: bytes, inline: bool = False) -> Iterator[tuple[str, list]]:
+    """Operators of a content stream with their operands; inline images are skipped, or with ``inline`` given whole as ``BI``."""
     lexer, operands = Lexer(data, refs=False), []
     while (x := lexer.next()) is not END:
         if x is _CLOSE:
@@ -124,7 +124,9 @@ def operations(data: bytes) -> Iterator[tuple[str, list]]:
             continue
         if x == "BI":
             end = re.compile(rb"[\0\t\n\f\r ]EI(?=[\0\t\n\f\r ]|$)").search(data, lexer.at)
-            lexer.at = end.end() if end else len(data)
+            begin, lexer.at = lexer.at, end.end() if end else len(data)
+            if inline:
+                yield "BI", [data[begin : lexer.at]]
         else:
             yield str(x), operands
         operands = []
