@@ -127,8 +127,11 @@ class Index:
         step = 2 * self.k[item] + 1
         band = diagonal // step
         code = item * _BAND + band + (_BAND >> 1)
-        codes, counts = np.unique(np.concatenate((code, code - 1)), return_counts=True)
-        enough = counts >= self.need[codes // _BAND]
+        # The lemma speaks of an item's q-grams, so one that occurs again in the band counts once.
+        codes, at = np.unique(np.concatenate((code, code - 1)), return_inverse=True)
+        longest = int(self.place.max()) + 1
+        distinct = np.unique(at * longest + np.tile(self.place[hit], 2)) // longest
+        enough = np.bincount(distinct, minlength=len(codes)) >= self.need[codes // _BAND]
         best: dict[int, Match] = {}
         for c in codes[enough].tolist():
             i, b = c // _BAND, c % _BAND - (_BAND >> 1)
