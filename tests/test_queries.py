@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import bidi, dedupe, insert, layout
-from vellum.plans import queries as plans
+from vellum.plans import documents as files, queries as plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,10 +28,10 @@ def norm(v):
     return v
 
 
-@pytest.mark.parametrize("name", list(plans.ORACLES))
+@pytest.mark.parametrize("name", [*plans.ORACLES, *files.ORACLES])
 def test_against_sql(spark, duck, name):
-    got = plans.QUERIES[name](spark, SF)
-    want = duck.sql(plans.ORACLES[name])
+    got = {**plans.QUERIES, **files.QUERIES}[name](spark, SF)
+    want = duck.sql({**plans.ORACLES, **files.ORACLES}[name])
     order = sorted(got.columns)
     assert order == sorted(want.columns)
     mine = sorted(repr([norm(r[c]) for c in order]) for r in got.collect())

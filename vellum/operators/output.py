@@ -61,6 +61,15 @@ def blocks(chars: DataFrame, sort: bool = False) -> DataFrame:
     return rows.select(*PAGE, (F.col("block_no") - 1).alias("block_no"), F.lit(0).alias("type"), *BOX, "text", *(["rank"] if sort else []))
 
 
+def blocks_with_images(chars: DataFrame, images: DataFrame) -> DataFrame:
+    """Text blocks (type 0) and images (type 1) numbered together in drawing order."""
+    start = chars.groupBy(*PAGE, (F.col("block_no") - 1).alias("block_no")).agg(F.min("seq").alias("_at"))
+    texts = blocks(chars).join(start, [*PAGE, "block_no"]).drop("block_no")
+    pictures = images.select(*PAGE, F.lit(1).alias("type"), *BOX, F.lit("").alias("text"), (F.col("seq") * 2).alias("_at"))
+    order = Window.partitionBy(*PAGE).orderBy("_at")
+    return texts.unionByName(pictures).withColumn("block_no", (F.row_number().over(order) - 1).cast("long")).drop("_at")
+
+
 def _box(names: tuple[str, ...] = BOX) -> Column:
     return F.struct(*names).alias("bbox")
 

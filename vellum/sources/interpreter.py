@@ -10,6 +10,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from ..functions import icc
 from ..functions.geometry import Matrix, Rect
 from . import pdffont
 from .document import Document, Page
@@ -128,7 +129,8 @@ class Interpreter:
         if isinstance(space, list) and space and depth < 10:
             kind, get = str(self.doc.get(space[0])), self.doc.get
             if kind == "ICCBased":
-                return by_count(v[: int(get(self.doc.dict_of(space[1]).get("N"), len(v)))])
+                n, profile = int(get(self.doc.dict_of(space[1]).get("N"), len(v))), self._profile(space[1])
+                return rgb(*profile.rgb(v)) if profile and n == 3 and len(v) >= 3 else by_count(v[:n])
             if kind in ("Separation", "DeviceN") and len(space) > 3:
                 made = self._function(space[3], v)
                 return self._color(get(space[2]), made, depth + 1) if made else rgb(*[1 - (v[0] if v else 0)] * 3)
@@ -143,6 +145,13 @@ class Interpreter:
                 return self._color(get(space[1]), v, depth + 1)
         return by_count(v)
 
+    def _profile(self, ref) -> icc.Profile | None:
+        key = ("icc", ref.number if isinstance(ref, Ref) else id(ref))
+        if key not in self.loaded:
+            got = self.doc.get(ref)
+            self.loaded[key] = icc.parse(self.doc.decoded(got)) if isinstance(got, Stream) else None
+        return self.loaded[key]
+
     def _components(self, space) -> int:
         if isinstance(space, list) and space:
             kind = str(self.doc.get(space[0]))

@@ -39,7 +39,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
 
-def _mapped(docs: DataFrame, ddl: str, rows: Callable[[int, bytes], Iterator[tuple]]) -> DataFrame:
+def _mapped(docs: DataFrame, ddl: str, rows: Callable[..., Iterator[tuple]]) -> DataFrame:
     schema = to_arrow_schema(_parse_datatype_string(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,18 +50,19 @@ def _mapped(docs: DataFrame, ddl: str, rows: Callable[[int, bytes], Iterator[tup
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for row in rows(doc_id, content.as_py() or b""):
+            for doc_id, content, *more in zip(*batch.columns, strict=True):
+                for row in rows(doc_id.as_py(), content.as_py() or b"", *(x.as_py() for x in more)):
                     held.append(row)
                     if len(held) >= BATCH:
                         yield out()
                         held = []
         yield out()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("content").cast("binary")).mapInArrow(run, ddl)
+    more = ["part"] if "part" in docs.columns else []
+    return docs.select(F.col("doc_id").cast("long"), F.col("content").cast("binary"), *more).mapInArrow(run, ddl)
 
 
-def _pages_of(content: bytes, wanted: tuple[int, ...] | None, cmaps: str | None, names: str | None):
+def _pages_of(content: bytes, wanted: tuple[int, ...] | None, cmaps: str | None, names: str | None, share: tuple[int, int] = (0, 1)):
     """Interpreted pages of a document; nothing if it cannot be read, no more pages after one that fails."""
     try:
         doc = Document(content)
@@ -69,15 +70,22 @@ def _pages_of(content: bytes, wanted: tuple[int, ...] | None, cmaps: str | None,
     except Exception:  # a damaged document must not fail the job; errors() tells
         return
     for page in pages:
-        if wanted is None or page.number in wanted:
+        if (wanted is None or page.number in wanted) and page.number % share[1] == share[0]:
             try:
                 yield page, Interpreter(doc, page, cmaps, table, loaded).run()
             except Exception:
                 continue
 
 
-def glyphs(docs: DataFrame, pages: tuple[int, ...] | None = None, cmap_folder: str | None = None, glyph_list: str | None = None) -> DataFrame:
-    """The glyph stream of (doc_id, content) rows, in top-down page space; only ``pages`` are interpreted."""
+def glyphs(docs: DataFrame, pages: tuple[int, ...] | None = None, cmap_folder: str | None = None, glyph_list: str | None = None, split: int = 1) -> DataFrame:
+    """The glyph stream of (doc_id, content) rows, in top-down page space; only ``pages`` are interpreted.
+
+    With ``split`` above one, every document goes to so many tasks, each of which interprets its share of the
+    pages: for few large documents.
+    """
+    if split > 1:
+        dealt = docs.select("doc_id", "content", F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("part")).repartition(split, "part")
+        return _mapped(dealt, GLYPHS, lambda d, content, part: ((d, page.number, *g) for page, out in _pages_of(content, pages, cmap_folder, glyph_list, (part, split)) for g in out.glyphs))
     return _mapped(docs, GLYPHS, lambda d, content: ((d, page.number, *g) for page, out in _pages_of(content, pages, cmap_folder, glyph_list) for g in out.glyphs))
 
 

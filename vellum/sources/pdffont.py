@@ -32,9 +32,26 @@ STANDARD = {
     0xC1: "`", 0xC2: "´", 0xC3: "ˆ", 0xC4: "˜", 0xC5: "¯", 0xC6: "˘", 0xC7: "˙", 0xC8: "¨", 0xCA: "˚", 0xCB: "¸", 0xCD: "˝", 0xCE: "˛", 0xCF: "ˇ", 0xD0: "—", 0xE1: "Æ", 0xE3: "ª", 0xE8: "Ł", 0xE9: "Ø", 0xEA: "Œ", 0xEB: "º", 0xF1: "æ", 0xF5: "ı", 0xF8: "ł", 0xF9: "ø", 0xFA: "œ", 0xFB: "ß",
 }
 
+# What the letters of the Symbol font stand for, A to Z and a to z.
+SYMBOL_UPPER = "ΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖ"
+SYMBOL_LOWER = "αβχδεφγηιϕκλμνοπθρστυϖωξψζ"
+
+# Dingbats codes that do not follow U+2701 onwards.
+DINGBATS = {0x20: 0x20, 0x25: 0x260E, 0x2A: 0x261B, 0x2B: 0x261E, 0x48: 0x2605, 0x6C: 0x25CF, 0x6E: 0x25A0, 0x73: 0x25B2, 0x74: 0x25BC, 0x75: 0x25C6, 0x77: 0x25D7}
+
 REPLACEMENT = 0xFFFD
 
 
+def symbolic_table(name: str) -> dict[int, int]:
+    """Codes of the two standard picture fonts."""
+    lower = name.lower()
+    if "dingbats" in lower:
+        return {c: 0x2701 + c - 0x21 for c in range(0x21, 0x7F)} | DINGBATS
+    if "symbol" in lower:
+        return {65 + i: ord(c) for i, c in enumerate(SYMBOL_UPPER)} | {97 + i: ord(c) for i, c in enumerate(SYMBOL_LOWER)}
+    return {}
+
+
 def encoding_table(name: str) -> dict[int, int]:
     """Codes to code points of a named base encoding."""
     if name == "StandardEncoding":
@@ -260,10 +277,10 @@ def _encode(doc: Document, font: Font, info: dict, child: dict, composite: bool,
                 font.unicode = {c: to.chars[cid] for c in range(65536) if (cid := codes.cids.get(c, c)) in to.chars} if to.chars else {}
         return
     font.spaces = told.spaces if any(s[0] == 1 for s in told.spaces) else []
-    base = encoding_table(named)
+    base = encoding_table(named) or symbolic_table(font.base_font)
     if isinstance(encoding, (dict, Stream)):
         info_e = doc.dict_of(encoding)
-        base = encoding_table(str(info_e.get("BaseEncoding", "")))
+        base = encoding_table(str(info_e.get("BaseEncoding", ""))) or symbolic_table(font.base_font)
         code = 0
         for x in doc.get(info_e.get("Differences"), []):
             x = doc.get(x)
