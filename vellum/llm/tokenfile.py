@@ -88,10 +88,14 @@ class Reader:
 
     def all(self) -> np.ndarray:
         """Every id, by one pass over each level."""
-        ids, at = np.zeros(self.n, np.uint32), np.arange(self.n)
+        ids, at = np.zeros(self.n, np.uint32), None
         for k, (_, bits, chunks) in enumerate(self.levels):
-            ids[at] |= chunks.astype(np.uint32) << np.uint32(8 * k)
-            at = at[np.unpackbits(bits, count=len(chunks), bitorder="little").astype(bool)]
+            more = np.flatnonzero(np.unpackbits(bits, count=len(chunks), bitorder="little"))
+            if at is None:
+                ids, at = chunks.astype(np.uint32), more
+            else:
+                ids[at] |= chunks.astype(np.uint32) << np.uint32(8 * k)
+                at = at[more]
         return ids
 
 
@@ -107,8 +111,9 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     The tokenizer never joins characters across the start of a run of white space, so a text
-    may be encoded run by run.  Each distinct run is given to the library once, many at a time
-    in one string; the bytes that each token stands for tell where one run ends.
+    may be encoded word by word, each with the blank or newline before it.  Each distinct word is given to the
+    library once, many at a time in one string; the bytes that each token stands for tell where one word
+    ends.  Texts with other white space are cut by a pattern, those with unusual kinds not at all.
     """
 
     def __init__(self, path: str):
@@ -116,6 +121,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes | None] = {}  # by the text after one blank, or from a newline on
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.sizes[i] = len(token)  # one character of the vocabulary file is one byte
@@ -125,34 +131,55 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, runs: list[str]) -> None:
-        """Memorise the ids of new runs; None for those that may not stand alone."""
-        odd = [r for r in runs if _ODD.search(r)] if _ODD.search("".join(runs)) else []
-        self.memo.update(dict.fromkeys(odd))
-        left = set(odd)
-        inner = [r for r in runs if r[0] in _BLANK and r[-1] not in _BLANK and r not in left]
-        edge = [r for r in runs if (r[0] not in _BLANK or r[-1] in _BLANK) and r not in left]
-        self.memo.update(zip(edge, self._encode(edge), strict=True))
-        for i in range(0, len(inner), JOINED_RUNS):
-            part = inner[i : i + JOINED_RUNS]
+    def _joined(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs that start with white space and end without."""
+        out: list[bytes] = []
+        for i in range(0, len(runs), JOINED_RUNS):
+            part = runs[i : i + JOINED_RUNS]
             [raw] = self._encode(["".join(part)])
             ends = np.cumsum(np.fromiter((len(r.encode()) for r in part), np.int64, len(part)))
             cuts = (4 * (np.searchsorted(np.cumsum(self.sizes[np.frombuffer(raw, "<u4")]), ends) + 1)).tolist()
-            self.memo.update(zip(part, (raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)), strict=True))
+            out += [raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
+        return out
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Memorise words; None for those that may not stand alone."""
+        odd = [w for w in words if not w or w[-1] in _BLANK]
+        if _ODD.search("".join(words)):
+            odd += [w for w in words if _ODD.search(w)]
+        if odd:
+            self.words.update(dict.fromkeys(odd))
+            words = list(set(words).difference(odd))
+        self.words.update(zip(words, self._joined([w if w[0] == "\n" else " " + w for w in words]), strict=True))
+
+    def _by_runs(self, text: str) -> bytes:
+        """Ids of a text with blanks of all kinds, run by run."""
+        memo, runs = self.memo, _CHUNK.findall(text)
+        for r in set(runs).difference(memo):
+            memo[r] = None if _ODD.search(r) else self._encode([r])[0]
+        try:
+            return b"".join(map(memo.__getitem__, runs))
+        except TypeError:  # a run that may not stand alone
+            return self._encode([text])[0]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_CHUNK.findall(t) for t in texts]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        memo = self.memo
-        if new := set().union(*split).difference(memo):
-            self._learn(list(new))
+        for memo in (self.memo, self.words):
+            if len(memo) > MEMO_ENTRIES:
+                memo.clear()
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
+        heads = [words.pop(0) for words in split]
+        words = self.words
+        if new := set().union(*split).difference(words):
+            self._learn_words(list(new))
         out = []
-        for text, runs in zip(texts, split, strict=True):
+        for text, head, rest in zip(texts, heads, split, strict=True):
             try:
-                out.append(np.frombuffer(b"".join(map(memo.__getitem__, runs)), "<u4"))
-            except TypeError:  # a run that may not stand alone
-                out.append(np.frombuffer(self._encode([text])[0], "<u4"))
+                if head and head[-1] in _BLANK:
+                    raise TypeError
+                raw = (self._by_runs(head) if head else b"") + b"".join(map(words.__getitem__, rest))
+            except TypeError:
+                raw = self._by_runs(text)
+            out.append(np.frombuffer(raw, "<u4"))
         return out
 
 
