@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 SWEEPS = 8
 KEEP = 0.9
 TEMPER = 0.7
@@ -90,6 +92,7 @@ def weighed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     rows = docs.drop(*lost).withColumn("mix_topic", F.expr(topic))
     named = rows.select("text", "source", "lang", F.col("mix_topic").alias("topic"))
     ratios = raked(cells(named), targets).selectExpr("source as _s", "lang as _l", "topic as _t", "ratio as mix_ratio")
+    ratios = staged(ratios, "mixing-ratios")  # its size is known when the join is planned, so texts move only where it is large
     same = F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l")) & F.col("mix_topic").eqNullSafe(F.col("_t"))
     found = rows.join(ratios, same, "left").drop("_s", "_l", "_t").withColumn("mix_ratio", F.coalesce("mix_ratio", F.lit(1 / KEEP)))
     found = found.withColumn("mix_p", F.least(F.lit(1.0), F.col("mix_ratio") * KEEP))
