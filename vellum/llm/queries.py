@@ -89,5 +89,18 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": r"""with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+each as (select doc_id, unnest(range(1, len(ws) + 1)) as pos, unnest(ws) as word from w),
+starts as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as pos from w),
+seen as (select doc_id, pos, row_number() over (partition by array_to_string(ws[pos:pos + 19], ' ') order by doc_id, pos) > 1 as again from starts),
+gone as (select distinct doc_id, pos + j as pos from seen cross join range(20) r(j) where again),
+kept as (select e.doc_id, count(*) as n_words, count(g.pos) as n_removed, string_agg(e.word, ' ' order by e.pos) filter (where g.pos is null) as words from each e left join gone g using (doc_id, pos) group by e.doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(words, '')) as kept_sha256 from documents d left join kept using (doc_id)""",
+    "op8_chat_format": r"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all
+ select -1, n, r, '<|im_end|><|im_start|>assistant ok' from (values (0, 'user'), (1, 'assistant')) v(n, r))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '')) as loss_sha256,
+ cast(sum(length('<|im_start|>') + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + length('<|im_end|>') + 1) as bigint) as formatted_chars from c group by conv_id""",
     "op9_mixing": f"{mixing.sql()}\nselect doc_id, topic as mix_topic, round(mix_p, 6) as mix_p, round(mix_ratio / mix_p, 6) as mix_weight, mix_u < mix_p as mix_kept from m",
 }
