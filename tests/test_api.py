@@ -25,8 +25,9 @@ def test_changes_give_new_documents(spark):
     assert doc.redact_pages({0: [(0, 0, 600, 800)]}).get_all_text() == "\fBye\n"
     assert doc[1].redact_text([(0, 0, 600, 800)]).get_all_text() == "Hello\n\f" and doc.get_all_text() == "Hello\n\fBye\n"
     assert doc[0].clean_contents()[0].get_text() == ""
-    assert doc.cache().get_all_text() == "Hello\n\fBye\n"
     doc.clear_page_cache()
+    assert doc.get_all_text() == "Hello\n\fBye\n"
+    doc.close()
 
 
 def test_duplicates_are_dropped(spark):

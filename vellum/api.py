@@ -37,24 +37,20 @@ class Document:
 
     def __init__(self, docs: DataFrame, cmap_folder: str | None = None, options: layout.Options = layout.Options()):
         self.docs, self.cmap_folder, self.options = docs, cmap_folder, options
-        self._cached: DataFrame | None = None
+        self._cached: dict[tuple[int, ...] | None, DataFrame] = {}
 
     # ---- tables ----
 
     def glyphs_df(self, pages: tuple[int, ...] | None = None) -> DataFrame:
-        if self._cached is not None and pages is None:
-            return self._cached
-        return pdf.glyphs(self.docs, pages, self.cmap_folder)
-
-    def cache(self) -> Document:
-        """Keep the glyphs while several modes are asked for."""
-        self._cached = pdf.glyphs(self.docs, None, self.cmap_folder).persist()
-        return self
+        """Glyphs, kept until ``close``: the layout reads them several times, and files are slow to parse."""
+        if pages not in self._cached:
+            self._cached[pages] = pdf.glyphs(self.docs, pages, self.cmap_folder).persist()
+        return self._cached[pages]
 
     def clear_page_cache(self) -> None:
-        if self._cached is not None:
-            self._cached.unpersist()
-            self._cached = None
+        for kept in self._cached.values():
+            kept.unpersist()
+        self._cached.clear()
 
     close = clear_page_cache
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -140,8 +140,7 @@ def crop_pixels(r: Column, scale: Column, page: Column) -> Column:
     return F.struct(x0.cast("long").alias("x0"), y0.cast("long").alias("y0"), x1.cast("long").alias("x1"), y1.cast("long").alias("y1"))
 
 
-@dataclass(frozen=True)
-class Rect:
+class Rect(NamedTuple):
     """A rectangle of plain numbers; ``&`` intersects."""
 
     x0: float
@@ -164,12 +163,8 @@ class Rect:
     def __and__(self, other: Rect) -> Rect:
         return Rect(max(self.x0, other.x0), max(self.y0, other.y0), min(self.x1, other.x1), min(self.y1, other.y1))
 
-    def __iter__(self):
-        return iter((self.x0, self.y0, self.x1, self.y1))
 
-
-@dataclass(frozen=True)
-class Matrix:
+class Matrix(NamedTuple):
     """A matrix of plain numbers; ``m * n`` is first m, then n."""
 
     a: float = 1.0

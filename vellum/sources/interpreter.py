@@ -6,6 +6,7 @@ A stack machine, so it stays procedural: one call per page, inside the task that
 from __future__ import annotations
 
 import copy
+import functools
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -63,6 +64,7 @@ IMAGE_FIELDS = ("seq", "name", "obj_id", "x0", "y0", "x1", "y1", "width", "heigh
 DRAWING_FIELDS = ("seq", "type", "path", "color", "fill", "line_width", "even_odd", "clip")
 
 
+@functools.lru_cache(4096)
 def level_of(char: str, now: int) -> int:
     """Direction level of a character; neutral ones go on with the present level."""
     kind = unicodedata.bidirectional(char)
@@ -94,6 +96,7 @@ class Interpreter:
         self.folder, self.glyph_list = cmap_folder, glyph_list
         self.loaded = {} if loaded is None else loaded
         self.to_page = page.matrix
+        self.last_shape: tuple = (None, (1.0, 1.0, 0.0))
 
     def run(self) -> Output:
         self._stream(self.doc.contents(self.page), self.doc.dict_of(self.page.info.get("Resources")), State(), 0)
@@ -312,21 +315,28 @@ class Interpreter:
     # ---- text ----
 
     def _placed(self, raw: bytes, st: State, tm: Matrix) -> tuple[list[tuple[int, int, float, Matrix]], Matrix]:
-        """Codes of a shown string with their length, advance and place, and the text matrix after them."""
-        font = st.font or pdffont.Font(widths={})
-        out = []
+        """Codes of a shown string with their length, advance and place, and the text matrix after them.
+
+        Within a string only the origin moves, along the text matrix' own axis.
+        """
+        font, size = st.font or pdffont.Font(widths={}), st.size
+        along = tm * st.ctm
+        a, b, c, d, x, y = Matrix(size * st.scale, 0, 0, size, 0, st.rise) * along
+        ux, uy = (along.c, along.d) if font.wmode else (along.a, along.b)
+        out, moved = [], 0.0
         for code, n in font.codes(raw):
             adv = font.advance(code)
-            at = Matrix(st.size * st.scale, 0, 0, st.size, 0, st.rise) * tm * st.ctm
             extra = st.char_space + (st.word_space if code == 32 and n <= 2 else 0.0)
+            wide = adv + extra / size if abs(size) > 0.001 else adv
             if font.wmode:
                 _, vx, vy = font.vertical.get(code, font.vertical.get(-1, (-1.0, font.widths.get(code, font.default_width or 1.0) / 2, 0.88)))
-                at = Matrix(1, 0, 0, 1, -vx, -vy) * at
-                tm = Matrix(1, 0, 0, 1, 0, -(adv * st.size + extra)) * tm
+                out.append((code, n, wide, Matrix(a, b, c, d, x - vx * a - vy * c, y - vx * b - vy * d)))
+                step = -(adv * size + extra)
             else:
-                tm = Matrix(1, 0, 0, 1, (adv * st.size + extra) * st.scale, 0) * tm
-            out.append((code, n, adv + extra / st.size if abs(st.size) > 0.001 else adv, at))
-        return out, tm
+                out.append((code, n, wide, Matrix(a, b, c, d, x, y)))
+                step = (adv * size + extra) * st.scale
+            x, y, moved = x + step * ux, y + step * uy, moved + step
+        return out, (Matrix(1, 0, 0, 1, 0, moved) if font.wmode else Matrix(1, 0, 0, 1, moved, 0)) * tm
 
     def _show(self, raw: bytes, st: State, tm: Matrix, actual: list[list[int]]) -> Matrix:
         font = st.font or pdffont.Font(widths={})
@@ -383,25 +393,34 @@ class Interpreter:
         raw = self.doc.get(info.get("ActualText")) if isinstance(info, dict) else None
         return [ord(c) for c in text_string(raw)] if isinstance(raw, bytes) else []
 
+    def _shape(self, at: Matrix, nominal: float, wmode: int) -> tuple[float, float, float]:
+        """Size and direction in page space; equal for all glyphs of a string."""
+        key = (at[:4], nominal, wmode)
+        if key != self.last_shape[0]:
+            m = at * self.to_page
+            size = m.expansion if m.expansion > 0.001 else nominal if nominal > 0.001 else 1.0
+            ux, uy = (-m.c, -m.d) if wmode else (m.a, m.b)
+            length = (ux * ux + uy * uy) ** 0.5 or 1.0
+            self.last_shape = (key, (size, ux / length, uy / length))
+        return self.last_shape[1]
+
     def _emit(self, cp: int, adv: float, at: Matrix, st: State, real: bool) -> None:
         if cp in (-1, 10, 13):
             return
-        m, font = at * self.to_page, st.font or pdffont.Font()
-        size = m.expansion if m.expansion > 0.001 else st.size if st.size > 0.001 else 1.0
-        ux, uy = (-m.c, -m.d) if font.wmode else (m.a, m.b)
-        length = (ux * ux + uy * uy) ** 0.5 or 1.0
-        dx, dy = ux / length, uy / length
-        x, y = m.e, m.f
+        font = st.font or pdffont.Font()
         if st.clip and self._clipped(at, adv, font, st.clip):
             return
-        text = expand(cp)
-        for k, c in enumerate(text):
+        size, dx, dy = self._shape(at, st.size, font.wmode)
+        x, y = self.to_page.at(at.e, at.f)
+        color, out = st.stroke if st.mode in (1, 5) else st.fill, self.out
+        for k, c in enumerate(expand(cp)):
             st.bidi = level_of(c, st.bidi)
-            self.out.glyphs.append((
-                self.out.next(), c, ord(c), x, y, 0.0 if k else adv, dx, dy, size, font.ascent, font.descent, font.base_font,
-                st.stroke if st.mode in (1, 5) else st.fill, font.bold, font.italic, font.serif, font.mono, font.wmode, st.bidi, real and not k, self.out.new_obj, self.out.after_image,
+            out.seq += 1
+            out.glyphs.append((
+                out.seq, c, ord(c), x, y, 0.0 if k else adv, dx, dy, size, font.ascent, font.descent, font.base_font,
+                color, font.bold, font.italic, font.serif, font.mono, font.wmode, st.bidi, real and not k, out.new_obj, out.after_image,
             ))
-            self.out.new_obj = self.out.after_image = False
+            out.new_obj = out.after_image = False
 
     @staticmethod
     def _clipped(at: Matrix, adv: float, font: pdffont.Font, clip: Rect) -> bool:
@@ -467,6 +486,7 @@ class Interpreter:
         self.out.after_image = True
 
 
+@functools.lru_cache(4096)
 def expand(cp: int) -> str:
     """Ligatures and presentation forms as their plain characters; blanks of all kinds as a blank."""
     from ..functions.text import BLANKS

@@ -192,9 +192,13 @@ class Font:
     italic: bool = False
     serif: bool = True
     mono: bool = False
+    known: dict[int, list[int]] = field(default_factory=dict, repr=False)
 
     def codes(self, raw: bytes):
         """(code, number of bytes) of a shown string: the longest code range that fits, else one byte."""
+        if self.code_bytes == 1 and not self.spaces:
+            yield from ((c, 1) for c in raw)
+            return
         at, widest = 0, max([self.code_bytes, *(s[0] for s in self.spaces)])
         while at < len(raw):
             code, n = raw[at], 1
@@ -218,8 +222,9 @@ class Font:
 
     def characters(self, code: int) -> list[int]:
         """Code points of a code: C1 controls read as Windows Latin, other controls as blanks; unknown codes stand for themselves."""
-        seq = self.unicode.get(code) or [code]
-        return [_clean(v) for v in seq]
+        if code not in self.known:
+            self.known[code] = [_clean(v) for v in self.unicode.get(code) or [code]]
+        return self.known[code]
 
 
 def _clean(cp: int) -> int:
