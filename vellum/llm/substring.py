@@ -10,8 +10,8 @@ under one anchor, and eight windows on average cost one row.
    Unbranched segments that always follow each other (each the only successor and the
    only predecessor of the other, at adjoining places of the same source) are joined to paths by a
    Spark join; a path is decided as one, by the source coordinates of its first occurrence.
-3. Where the segments of an anchor differ, the graph branches, and its windows are decided
-   one by one.
+3. Where the segments of an anchor differ, the graph branches: segments that occur again go
+   as a whole, and the windows of each first occurrence are decided one by one.
 
 Every occurrence but the first (least doc_id, then start) is removed.  Counting combines
 before the shuffle and joins are split where a key is hot, so a passage in a third of all
@@ -39,7 +39,7 @@ from .common import discard, release, small_batches, staged
 
 WINDOW = 20
 ANCHOR = 6
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 #: Texts are hashed in groups of about this many characters.
 GROUP_CHARS = 1 << 18
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -157,11 +157,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(key[new].view(np.int64)), pa.array(docs), pa.array(np.diff(np.concatenate((new, [len(a)]))).astype(np.int32))], ["anchor", "key", "doc_id", "n"])
 
 
-_FOUND = "anchor long, k1 long, k2 long, doc_id long, start int, size int, before long, after long"
+_FOUND = "anchor long, k1 long, k2 long, doc_id long, start int, size int, before long, after long, forked boolean, windows array<long>"
 
 
 def _found_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the documents' repeated anchors: unbranched segments, with their neighbours' keys; single windows (size 0) of the others."""
+    """Of the documents' repeated anchors: the segments, with their neighbours' keys; those of forked anchors with both hashes of each window."""
     hasher = Hasher()
     for rows in groups(batches):
         low, high, words = hasher.of([r[1] for r in rows])
@@ -182,16 +182,16 @@ def _found_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(1, np.uint64)
         before = np.concatenate((none, np.where(tied, k1[:-1], none)))
         after = np.concatenate((np.where(tied, k1[1:], none), none))
+        kept = straight | branch
         at = np.repeat(starts[branch], sizes[branch])
         at += np.arange(len(at)) - np.repeat(np.cumsum(sizes[branch]) - sizes[branch], sizes[branch])
-        owner, zero = np.repeat(row[branch], sizes[branch]), np.zeros(len(at), np.uint64)
-        parts = (
-            (a[straight], zero), (k1[straight], w1[at]), (k2[straight], w2[at]), (docs[row[straight]], docs[owner]),
-            (starts[straight] - begin[row[straight]], at - begin[owner]), (sizes[straight], zero), (before[straight], zero), (after[straight], zero),
-        )
-        types = [np.int64] * 4 + [np.int32] * 2 + [np.int64] * 2
-        columns = [np.concatenate([x.view(t) if x.dtype == np.uint64 and t is np.int64 else x.astype(t) for x in pair]) for pair, t in zip(parts, types, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in _FOUND.split(", ")])
+        both = np.stack((w1[at], w2[at]), axis=1).ravel().view(np.int64)
+        ends = np.cumsum(np.where(branch, 2 * sizes, 0)[kept])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(both))
+        longs = [x[kept].astype(x.dtype).view(np.int64) for x in (a, k1, k2, docs[row])]
+        ints = [x[kept].astype(np.int32) for x in (starts - begin[row], sizes)]
+        ties = [x[kept].view(np.int64) for x in (before, after)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (*longs, *ints, *ties, branch[kept])), lists], [x.split()[0] for x in _FOUND.split(", ")])
 
 
 def _with_text(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -199,12 +199,11 @@ def _with_text(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(lists.hint("shuffle_hash"), "doc_id", how)
 
 
-def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The repeats of ``docs`` (doc_id, text): paths and single windows.
+def repeated(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The repeats of ``docs`` (doc_id, text), and staged frames to discard once they are read.
 
-    Paths: rows (doc_id, start, size, first_doc, first_start, n) of each occurrence of an unbranched path
-    of ``size`` windows whose first occurrence is at (first_doc, first_start).  Windows: the
-    same with size 1.  Both without the first occurrences, which stay.
+    Rows (doc_id, start, size, first_doc, first_start): ``size`` windows from ``start`` on that
+    all occur before, as they do from (first_doc, first_start) on.  Rows may overlap.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -218,15 +217,23 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = again.select("anchor", "doc_id").distinct().join(shape, "anchor")
     lists = kinds.groupBy("doc_id").agg(F.expr("collect_list(anchor) filter (where not forked)").alias("plain"), F.expr("collect_list(anchor) filter (where forked)").alias("forked"))
     lists = staged(lists, "substring-lists")
-    found = staged(_with_text(known, lists, "inner").select("doc_id", "text", "plain", "forked").mapInArrow(_found_rows, _FOUND), "substring-found")
     discard(again)
+    release(spark)
+    found = staged(_with_text(known, lists, "inner").select("doc_id", "text", "plain", "forked").mapInArrow(_found_rows, _FOUND), "substring-found")
     discard(lists)
     release(spark)
+    paths, nodes = _paths(found.where("not forked").drop("windows"))
+    variants, used = _variants(found.where("forked"))
+    return paths.union(variants).where("doc_id <> first_doc or start <> first_start"), [found, nodes, *used]
+
+
+_PLACE = ("doc_id", "start", "size", "first_doc", "first_start")
 
-    place = F.struct("doc_id", "start")
-    straight = found.where("size > 0")
+
+def _paths(straight: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of unbranched paths."""
     nodes = straight.groupBy("k1", "k2").agg(
-        F.first("anchor").alias("anchor"), F.count("*").alias("n"), F.min(place).alias("at"), F.first("size").alias("size"),
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("at"), F.first("size").alias("size"),
         *[F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in ("before", "after")],
     ).where("n > 1")
     nodes = staged(nodes, "substring-nodes")
@@ -234,17 +241,30 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     joined = F.expr("x.after = y.k1 and y.before = x.k1 and x.n = y.n and x.at.doc_id = y.at.doc_id and x.at.start + x.size = y.at.start")
     follows = x.join(y, joined).select(F.col("y.k1").alias("k1"), F.col("y.k2").alias("k2"), F.lit(True).alias("follows"))
     order = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    chain = nodes.join(follows, ["k1", "k2"], "left").selectExpr("k1", "k2", "n", "size", "at.doc_id", "at.start", "follows is null as head")
+    chain = nodes.join(follows, ["k1", "k2"], "left").selectExpr("k1", "k2", "size", "at.doc_id", "at.start", "follows is null as head")
     chain = chain.withColumn("path", F.sum(F.col("head").cast("int")).over(order))
-    paths = chain.groupBy("doc_id", "path").agg(F.expr("min_by(k1, start)").alias("k1"), F.expr("min_by(k2, start)").alias("k2"), F.min("start").alias("first_start"), F.sum("size").cast("int").alias("path_size"), F.first("n").alias("n"))
-    heads = paths.select("k1", "k2", F.col("doc_id").alias("first_doc"), "first_start", "path_size", "n")
-    whole = straight.select("k1", "k2", "doc_id", "start").join(heads, ["k1", "k2"]).select("doc_id", "start", F.col("path_size").alias("size"), "first_doc", "first_start", "n")
+    heads = chain.groupBy(F.col("doc_id").alias("first_doc"), "path").agg(F.expr("min_by(k1, start)").alias("k1"), F.expr("min_by(k2, start)").alias("k2"), F.min("start").alias("first_start"), F.sum("size").cast("int").alias("path_size"))
+    whole = straight.select("k1", "k2", "doc_id", "start").join(heads, ["k1", "k2"])
+    return whole.withColumn("size", F.col("path_size")).select(*_PLACE), nodes
+
 
-    single = found.where("size = 0").select("k1", "k2", "doc_id", "start")
-    first = single.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("at")).where("n > 1")
-    alone = single.join(first, ["k1", "k2"]).selectExpr("doc_id", "start", "1 as size", "at.doc_id as first_doc", "at.start as first_start", "n")
-    later = "doc_id <> first_doc or start <> first_start"
-    return whole.where(later), alone.where(later)
+def _variants(forked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Repeats under forked anchors: later occurrences of a segment as a whole; of its first occurrence, the windows that other segments of the anchor had before.
+
+    The windows of a segment move once, to the unique place of its first occurrence.
+    """
+    first = forked.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("at")).selectExpr("k1", "k2", "at.doc_id as first_doc", "at.start as first_start")
+    first = staged(first, "substring-first")
+    release(forked.sparkSession)
+    later = forked.select("k1", "k2", "doc_id", "start", "size").join(first, ["k1", "k2"]).select(*_PLACE)
+    heads = forked.select("k1", "k2", "doc_id", "start", "size", "windows").join(first.withColumnsRenamed({"first_doc": "doc_id", "first_start": "start"}), ["k1", "k2", "doc_id", "start"])
+    each = F.explode(F.expr("sequence(0, size - 1)")).alias("i")
+    single = heads.select("doc_id", "start", "windows", each).selectExpr("windows[2 * i] as k1", "windows[2 * i + 1] as k2", "doc_id", "start + i as start")
+    single = staged(single, "substring-single")
+    release(forked.sparkSession)
+    before = single.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("at")).where("n > 1")
+    alone = single.join(before, ["k1", "k2"]).selectExpr("doc_id", "start", "1 as size", "at.doc_id as first_doc", "at.start as first_start")
+    return later.union(alone), [first, single]
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +291,9 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_text), one for each row of ``docs``; kept words are joined by a space."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    whole, alone = repeated(texts)
-    spans = whole.select("doc_id", "start", "size").union(alone.select("doc_id", "start", "size"))
+    spans, used = repeated(texts)
     lists = staged(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans")).selectExpr("doc_id", "spans.start as starts", "spans.size as sizes"), "substring-spans")
+    for frame in used:
+        discard(frame)
     release(docs.sparkSession)
     return _with_text(texts, lists, "left").select("doc_id", "text", "starts", "sizes").mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept_text string")
