@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 MIN_SCORE = 0.30
 N_BLOCKS = 16
 
@@ -21,7 +23,7 @@ def match_codespace(strings: DataFrame, ranges: DataFrame) -> DataFrame:
         codes.append(code)
     of = F.element_at(F.array(*codes), F.col("nbytes"))
     fits = (F.col("n_bytes") >= F.col("nbytes")) & of.between(F.col("low"), F.col("high"))
-    met = strings.join(F.broadcast(ranges), "font", "left").withColumn("code", F.when(fits, of)).withColumn("fits", F.coalesce(fits, F.lit(False)))
+    met = strings.join(small(ranges), "font", "left").withColumn("code", F.when(fits, of)).withColumn("fits", F.coalesce(fits, F.lit(False)))
     best = Window.partitionBy("string_id").orderBy(F.col("fits").desc(), F.col("nbytes").desc(), "low", "high")
     top = met.withColumn("_rank", F.row_number().over(best)).where("_rank = 1")
     return top.select("string_id", F.when(F.col("fits"), F.col("code")).otherwise(F.col("b0").cast("long")).alias("code"), F.when(F.col("fits"), F.col("nbytes")).otherwise(1).alias("consumed"))
@@ -39,7 +41,7 @@ def match_bitmaps(glyphs: DataFrame, templates: DataFrame) -> DataFrame:
 
     ``glyphs``: (glyph_id, contours, b0..b15); ``templates``: (idx, ch, contours, t0..t15), a few thousand rows.
     """
-    met = glyphs.join(F.broadcast(templates), "contours")
+    met = glyphs.join(small(templates), "contours")
     met = met.withColumn("score", overlap([F.col(f"b{i}") for i in range(N_BLOCKS)], [F.col(f"t{i}") for i in range(N_BLOCKS)]))
     return met.groupBy("glyph_id").agg(F.max_by(F.struct("idx", "ch", "score"), F.struct("score", -F.col("idx"))).alias("b")).where(F.col("b.score") > MIN_SCORE).select("glyph_id", "b.idx", "b.ch", "b.score")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .layout import PAGE
+from .sizes import small
 
 #: Share of a glyph's box that is cut on each side before the test.
 MARGIN = 0.1
@@ -16,8 +17,7 @@ BROADCAST_ZONES = 100_000
 
 def _hit(glyphs: DataFrame, zones: DataFrame, min_overlap: float) -> tuple:
     z = zones.select(F.col("doc_id").alias("z_doc"), F.col("page_num").alias("z_page"), *[F.col(c).alias(f"z_{c}") for c in G.SIDES])
-    if min_overlap <= 0 and z.limit(BROADCAST_ZONES + 1).count() <= BROADCAST_ZONES:
-        z = F.broadcast(z)
+    z = small(z, BROADCAST_ZONES)
     own, zone = G.rect(*[F.col(c) for c in G.SIDES]), G.rect(*[F.col(f"z_{c}") for c in G.SIDES])
     same = (F.col("doc_id") == F.col("z_doc")) & (F.col("page_num") == F.col("z_page"))
     cut = G.shrink(own, MARGIN)

@@ -129,12 +129,16 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def grid(tasks: DataFrame, faces: DataFrame) -> DataFrame:
-    """Coverage of each task's characters by each face, as ``insert.choose_font`` wants it; faces are few."""
+    """Coverage of each task's characters by each face, as ``insert.choose_font`` wants it.
+
+    The faces are a stated set, those of one folder, and each task is scored against all of them.
+    """
     from ..functions import fonts, text
+    from ..operators.sizes import small
 
     slots = faces.select(F.xxhash64("path").alias("slot_id"), fonts.family(F.col("family")).alias("slot_family"), F.col("bold").alias("slot_bold"), F.col("italic").alias("slot_italic"), "fallback", "codepoints")
     used = tasks.select("task_id", text.codepoints(F.col("text")).alias("_cps"))
-    both = used.join(F.broadcast(slots))
+    both = used.crossJoin(small(slots, 10_000))
     return both.withColumn("covered", F.size(F.filter("_cps", lambda c: F.array_contains("codepoints", c.cast("int"))))).drop("_cps", "codepoints")
 
 

@@ -17,6 +17,7 @@ _CHARS = {
     "duckdb": "select doc_id, unnest(range(length(text))) as pos, unnest(string_split(text, '')) as c from {documents} where text <> ''",
 }
 _CODE = {"spark": "cast(ascii(c) as bigint)", "duckdb": "cast(unicode(c) as bigint)"}
+_COPIES = {"spark": "lateral view explode(array(0, 1)) copies as copy", "duckdb": "cross join (values (0), (1)) copies(copy)"}
 _DIV = {"spark": "({} div {})", "duckdb": "({} // {})"}
 
 
@@ -47,7 +48,7 @@ from (
     ) broken
   ) wide
 ) placed
-cross join (select 0 as copy union all select 1 as copy) copies
+{_COPIES[engine]}
 where c <> '{chr(92)}n' and not (c = ' ' and pos % 3 = 0) and (copy = 0 or (word % 17 = 0 and c <> ' '))
 """.replace("'\\n'", "'\\n'" if engine == "spark" else "chr(10)")
 
