@@ -51,7 +51,7 @@ def test_registry_has_all_eleven():
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op4_substring_dedup", "op8_chat_format", "op9_mixing"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op4_substring_dedup", "op8_chat_format", "op9_mixing"])
 def test_sql(spark, name):
     import duckdb
 
