@@ -222,9 +222,21 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     found = staged(_with_text(known, lists, "inner").select("doc_id", "text", "plain", "forked").mapInArrow(_found_rows, _FOUND), "substring-found")
     discard(lists)
     release(spark)
+    later = "doc_id <> first_doc or start <> first_start"
+    forked = found.where("forked")
     paths, nodes = _paths(found.where("not forked").drop("windows"))
-    variants, used = _variants(found.where("forked"))
-    return paths.union(variants).where("doc_id <> first_doc or start <> first_start"), [found, nodes, *used]
+    again, first = _later_segments(forked)
+    whole = staged(paths.union(again).where(later), "substring-whole")
+    discard(nodes)
+    release(spark)
+    single = staged(_first_windows(forked, first), "substring-single")
+    discard(found)
+    discard(first)
+    release(spark)
+    alone = staged(_repeated_windows(single).where(later), "substring-alone")
+    discard(single)
+    release(spark)
+    return whole.union(alone), [whole, alone]
 
 
 _PLACE = ("doc_id", "start", "size", "first_doc", "first_start")
@@ -248,23 +260,25 @@ def _paths(straight: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole.withColumn("size", F.col("path_size")).select(*_PLACE), nodes
 
 
-def _variants(forked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Repeats under forked anchors: later occurrences of a segment as a whole; of its first occurrence, the windows that other segments of the anchor had before.
-
-    The windows of a segment move once, to the unique place of its first occurrence.
-    """
+def _later_segments(forked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of each segment under a forked anchor with its first one, and the first ones."""
     first = forked.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("at")).selectExpr("k1", "k2", "at.doc_id as first_doc", "at.start as first_start")
     first = staged(first, "substring-first")
     release(forked.sparkSession)
-    later = forked.select("k1", "k2", "doc_id", "start", "size").join(first, ["k1", "k2"]).select(*_PLACE)
+    return forked.select("k1", "k2", "doc_id", "start", "size").join(first, ["k1", "k2"]).select(*_PLACE), first
+
+
+def _first_windows(forked: DataFrame, first: DataFrame) -> DataFrame:
+    """Windows (k1, k2, doc_id, start) of each segment's first occurrence; they move once, to the unique place of it."""
     heads = forked.select("k1", "k2", "doc_id", "start", "size", "windows").join(first.withColumnsRenamed({"first_doc": "doc_id", "first_start": "start"}), ["k1", "k2", "doc_id", "start"])
     each = F.explode(F.expr("sequence(0, size - 1)")).alias("i")
-    single = heads.select("doc_id", "start", "windows", each).selectExpr("windows[2 * i] as k1", "windows[2 * i + 1] as k2", "doc_id", "start + i as start")
-    single = staged(single, "substring-single")
-    release(forked.sparkSession)
+    return heads.select("doc_id", "start", "windows", each).selectExpr("windows[2 * i] as k1", "windows[2 * i + 1] as k2", "doc_id", "start + i as start")
+
+
+def _repeated_windows(single: DataFrame) -> DataFrame:
+    """Windows that several segments share, each with its first place."""
     before = single.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("at")).where("n > 1")
-    alone = single.join(before, ["k1", "k2"]).selectExpr("doc_id", "start", "1 as size", "at.doc_id as first_doc", "at.start as first_start")
-    return later.union(alone), [first, single]
+    return single.join(before, ["k1", "k2"]).selectExpr("doc_id", "start", "1 as size", "at.doc_id as first_doc", "at.start as first_start")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
