@@ -48,6 +48,6 @@ def kerning(flagged: DataFrame, *string: str) -> DataFrame:
     sequence number of the next kept glyph (null at the string's end) and the sum of thousandths
     to skip, negative as in the format.
     """
-    w = Window.partitionBy(*PAGE, *string).orderBy("seq")
-    run = flagged.withColumn("next_kept", F.min(F.when(~F.col("removed"), F.col("seq"))).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(*PAGE, *string).orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a running frame; the reverse would be quadratic
+    run = flagged.withColumn("next_kept", F.min(F.when(~F.col("removed"), F.col("seq"))).over(back))
     return run.where("removed").groupBy(*PAGE, *string, "next_kept").agg(F.sum(-F.col("adv") * 1000).alias("adjust"), F.count("*").alias("n_removed"))

@@ -70,7 +70,7 @@ def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts after the first two lines of every even page are redacted and the files are written and read again."""
     files = _files(spark, sf_dir)
-    zones = pdf.pages(files).where("page_num % 2 = 0").select("doc_id", "page_num", *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 100000.0), ("y1", 20.0 + LEADING - 5))])
+    zones = pdf.pages(files).where("page_num % 2 = 0").select("doc_id", "page_num", *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 1e9), ("y1", 20.0 + LEADING - 5))])
     return _texts(writer.redact_documents(files, zones))
 
 
