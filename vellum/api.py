@@ -6,6 +6,8 @@ accessors of a page bring that page's result to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +39,18 @@ class Document:
 
     def __init__(self, docs: DataFrame, cmap_folder: str | None = None, options: layout.Options = layout.Options()):
         self.docs, self.cmap_folder, self.options = docs, cmap_folder, options
-        self._cached: dict[tuple[int, ...] | None, DataFrame] = {}
+        self._cached: dict[tuple, DataFrame] = {}
 
     # ---- tables ----
 
+    def _kept(self, name: str, pages: tuple[int, ...] | None, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is kept until ``close``: later steps read it several times, and files are slow to parse."""
+        if (name, pages) not in self._cached:
+            self._cached[name, pages] = make().persist()
+        return self._cached[name, pages]
+
     def glyphs_df(self, pages: tuple[int, ...] | None = None) -> DataFrame:
-        """Glyphs, kept until ``close``: the layout reads them several times, and files are slow to parse."""
-        if pages not in self._cached:
-            self._cached[pages] = pdf.glyphs(self.docs, pages, self.cmap_folder).persist()
-        return self._cached[pages]
+        return self._kept("glyphs", pages, lambda: pdf.glyphs(self.docs, pages, self.cmap_folder))
 
     def clear_page_cache(self) -> None:
         for kept in self._cached.values():
@@ -58,9 +63,11 @@ class Document:
         """Laid-out characters: overprints merged, blanks put in, right-to-left lines in reading order, duplicates gone."""
         glyphs = self.glyphs_df(pages)
         if self.options.collect_styles:
-            glyphs = dedupe.merge_fake_bold(glyphs)
-        boxed = layout.glyph_boxes(layout.laid_out(glyphs, self.options))
-        return dedupe.drop_blank_lines(dedupe.remove_duplicates(bidi.reordered(boxed)))
+            glyphs = self._kept("styled", pages, lambda: dedupe.merge_fake_bold(self.glyphs_df(pages)))
+        placed = self._kept("placed", pages, lambda: layout.glyph_boxes(layout.laid_out(glyphs, self.options)))
+        ordered = self._kept("ordered", pages, lambda: bidi.reordered(placed))
+        once = self._kept("once", pages, lambda: dedupe.remove_duplicates(ordered))
+        return self._kept("chars", pages, lambda: dedupe.drop_blank_lines(once))
 
     def pages_df(self) -> DataFrame:
         return pdf.pages(self.docs)
