@@ -9,6 +9,8 @@ from .sizes import small
 
 MIN_SCORE = 0.30
 N_BLOCKS = 16
+#: For up to 100,000 templates.
+TIE_STEP = 1e-12
 
 
 def match_codespace(strings: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -43,7 +45,10 @@ def match_bitmaps(glyphs: DataFrame, templates: DataFrame) -> DataFrame:
     """
     met = glyphs.join(small(templates), "contours")
     met = met.withColumn("score", overlap([F.col(f"b{i}") for i in range(N_BLOCKS)], [F.col(f"t{i}") for i in range(N_BLOCKS)]))
-    return met.groupBy("glyph_id").agg(F.max_by(F.struct("idx", "ch", "score"), F.struct("score", -F.col("idx"))).alias("b")).where(F.col("b.score") > MIN_SCORE).select("glyph_id", "b.idx", "b.ch", "b.score")
+    # Scores are fractions over at most 1024, so unequal ones differ by more than the step that lets the first of equal
+    # ones win; one number to compare keeps the aggregation hash-based.
+    best = met.groupBy("glyph_id").agg(F.max_by("idx", F.col("score") - F.col("idx") * TIE_STEP).alias("idx"), F.max("score").alias("score"))
+    return best.where(F.col("score") > MIN_SCORE).join(small(templates.select("idx", "ch")), "idx").select("glyph_id", "idx", "ch", "score")
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
