@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontam, langid, mixing, simhash, tokenfile
+from vellum.llm import decontam, langid, mixing, neardup, tokenfile
 from vellum.llm.common import staged
 
 
@@ -16,8 +16,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
-    return simhash.keep_one(docs)
+    """One document of each group of texts whose five-word shingle sets are similar to 0.8 or more."""
+    return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ columns besides doc_id and text are ignored; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -184,25 +184,29 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Rows that share this doc_id: the first by text stays.  Rows without doc_id are kept only
     where their component has no doc_id at all, one for each fingerprint text.
     """
+    return one_each(docs, near_duplicates(docs, radius), lambda texts: texts.select("text").mapInArrow(_text_prints, "text string, fp long"))
+
+
+def one_each(docs: DataFrame, found: DataFrame, printed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` with one document of each component of ``found``; ``printed`` gives (text, fp) of texts."""
     from pyspark.sql import Window
 
-    found = near_duplicates(docs, radius)
     named = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(named, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in ("text", "source", "lang") if c in docs.columns])
     one = kept.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
     orphan = found.where("component_id is null").select("fp").distinct()
-    return one.unionByName(_orphans(docs, orphan))
+    return one.unionByName(_orphans(docs, orphan, printed))
 
 
-def _orphans(docs: DataFrame, prints: DataFrame) -> DataFrame:
+def _orphans(docs: DataFrame, prints: DataFrame, printed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One row of each text among rows without doc_id whose component has no doc_id."""
     loose = docs.where("doc_id is null")
     if loose.isEmpty():
         return loose
     small_batches(docs.sparkSession)
     texts = loose.dropDuplicates(["text"])
-    found = texts.select("text").mapInArrow(_text_prints, "text string, fp long").join(prints, "fp", "left_semi").dropDuplicates(["fp"])
+    found = printed(texts).join(prints, "fp", "left_semi").dropDuplicates(["fp"])
     return texts.join(found.select(F.col("text").alias("_text")), F.col("text").eqNullSafe(F.col("_text"))).drop("_text")
 
 
