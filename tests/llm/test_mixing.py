@@ -76,3 +76,21 @@ def test_awkward_rows(spark):
     assert mixing.sampled(docs).columns == docs.columns
     assert mixing.weighed(cases.empty(spark)).count() == 0
     assert sorted(map(str, mixing.sampled(docs).collect())) == sorted(map(str, mixing.sampled(docs.repartition(5)).collect()))
+
+
+def test_plain_shares_of_the_sample_meet_the_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    tokens, topic = F.expr(mixing.TOKENS).alias("n"), F.expr(mixing.TOPIC).alias("topic")
+    own = docs.select("source", "lang", topic, tokens).cache()
+    drawn = mixing.sampled(docs).select("source", "lang", topic, tokens).cache()
+    for d in ("lang", "topic"):
+        had = {r[0]: float(r.n) for r in own.groupBy(d).agg(F.sum("n").alias("n")).collect() if r.n}
+        got = {r[0]: float(r.n) for r in drawn.groupBy(d).agg(F.sum("n").alias("n")).collect() if r.n}
+        goal = {k: (v / sum(had.values())) ** mixing.TEMPER for k, v in had.items()}
+        for k, v in goal.items():
+            share, want = got[k] / sum(got.values()), v / sum(goal.values())
+            assert abs(share / want - 1) < 0.05, (d, k, share, want)
+    all_tokens = own.agg(F.sum("n")).first()[0]
+    assert abs(drawn.agg(F.sum("n")).first()[0] / all_tokens / mixing.KEEP - 1) < 0.03
+    own.unpersist()
+    drawn.unpersist()

@@ -5,6 +5,7 @@ turn each marginal is scaled to its target until all three agree.  A cell's rati
 raked share over its own share; a document is drawn with probability min(1, KEEP * ratio),
 by a hash of its doc_id, so reruns draw the same.  Its weight is ratio over probability, so weighted token counts of
 the drawn documents meet the targets in expectation even where a probability is cut at one.
+``sampled`` gives no weights: there a document of KEEP * ratio above one is repeated instead.
 
 Targets are the corpus' own shares raised to TEMPER and normalised (below one flattens), or
 given shares; values that are not named share what the named ones leave, by their own shares.
@@ -100,8 +101,14 @@ def weighed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
 
 
 def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """The drawn documents, with the columns of ``docs``."""
-    return weighed(docs, targets).where("mix_kept").select(*docs.columns)
+    """The drawn documents, with the columns of ``docs``: their plain token counts meet the targets in expectation.
+
+    A document of expected count KEEP * ratio comes as often as the whole part says, and once more
+    with the rest as its probability; so what a probability of one cannot give comes as repeated rows.
+    """
+    found = weighed(docs, targets).withColumn("_expected", F.col("mix_ratio") * KEEP).withColumn("_whole", F.floor("_expected"))
+    times = (F.col("_whole") + (draw() < F.col("_expected") - F.col("_whole")).cast("long")).cast("int")
+    return found.withColumn("_times", times).where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
 
 
 def sql(documents: str = "documents") -> str:
