@@ -73,3 +73,21 @@ def test_query_leaves_no_card(spark):
     mails = {m for t in raw for m in re.findall(r"[\w.]+@[\w.]+", t)}
     out = " ".join(r.text for r in queries.op10_pii_pseudonyms(spark, sf).collect())
     assert cards and mails and not any(c in out for c in cards | mails)
+
+
+def test_every_phone_after_a_country_code(spark):
+    phones = ["+1 (017) 555-7713", "+1 (555) 155-0199", "+1 (000) 000-0000", "+1 017-555-7713", "+1.217.055.7713", *(f"+1 ({a}{b}7) {c}55-7713" for a in "0129" for b in "01" for c in "0129")]
+    got = run(spark, phones)
+    assert all(a != b and shape(a) == shape(b) and b.startswith("+1") for a, b in zip(phones, got, strict=True))
+    assert len({re.sub(r"\D", "", g) for g in got}) == len({re.sub(r"\D", "", p) for p in phones})
+    assert run(spark, got, back=True) == phones
+    assert run(spark, ["call 5+1 (017) 555-7713, now"]) == [f"call 5{got[0]}, now"]
+
+
+def test_query_leaves_no_phone(spark):
+    sf = "/root/testdata/sf0.1"
+    raw = spark.read.parquet(f"{sf}/documents.parquet").where("contains(text, '+1 (')").select("doc_id", "text")
+    before = {r.doc_id: r.text for r in raw.collect()}
+    after = {r.doc_id: r.text for r in pii.pseudonymised(raw, queries.PII_KEY).collect()}
+    found = [(i, m) for i, t in before.items() for m in re.findall(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", t)]
+    assert len(found) > 100 and not [m for i, m in found if m in after[i]]

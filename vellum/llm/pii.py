@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in DataFrame operations only.
 
 Numbers and dates that pass their own check (a card's Luhn digit, an address' octets, a real
-date, a possible phone or security number) are replaced by a keyed permutation of all such
+date, a phone number after +1 or a possible one without, a possible security number) are replaced by a keyed permutation of all such
 values of the same format; e-mail names and access keys, of their letters and digits.  The permutation is a
 Feistel network whose two halves live in Z_a and Z_b, with a times b the exact number of
 values of the format, so every pseudonym is valid again, equal values get equal pseudonyms
@@ -32,7 +32,7 @@ KINDS = {
     "iso": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "dmy": r"(?<![0-9])[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 #: Days from 1900-01-01 to 2099-12-31 are 319 times 229.
@@ -78,9 +78,9 @@ class _Network:
         return _fold(rounds, f"named_struct('x', cast({x} as bigint), 'y', cast({y} as bigint))", step)
 
     def text(self, s: str, t: str) -> str:
-        """Permutes the string s of at most PIECE characters of the classes t: # digit, n digit from 2, l and u letters."""
-        radix = "case substring(t, i, 1) when '#' then 10L when 'n' then 8L else 26L end"
-        base = "case substring(t, i, 1) when '#' then 48 when 'n' then 50 when 'l' then 97 else 65 end"
+        """Permutes the string s of at most PIECE characters of the classes t: # digit, n digit from 2, z digit below 2, l and u letters."""
+        radix = "case substring(t, i, 1) when '#' then 10L when 'n' then 8L when 'z' then 2L else 26L end"
+        base = "case substring(t, i, 1) when '#' then 48 when 'z' then 48 when 'n' then 50 when 'l' then 97 else 65 end"
 
         def number(lo: str, hi: str) -> str:
             return f"if({lo} > {hi}, 0L, aggregate(sequence({lo}, greatest({lo}, {hi})), 0L, (v, i) -> v * ({radix}) + ascii(substring(s, i, 1)) - ({base})))"
@@ -141,7 +141,10 @@ def _replacement(net: _Network) -> str:
     back = "z.x div 99 + if(z.x div 99 >= 665, 2, 1)"
     ssn = f"if({area} in (0, 666) or {area} >= 900 or {group} = 0 or {serial} = 0, m, {_let('z', net.pair(f'({rank}) * 99 + {group} - 1', f'{898 * 99}L', f'{serial} - 1', '9999L', _lit('ssn')), f'concat(lpad(cast({back} as string), 3, {_lit("0")}), {_lit("-")}, lpad(cast(z.x % 99 + 1 as string), 2, {_lit("0")}), {_lit("-")}, lpad(cast(z.y + 1 as string), 4, {_lit("0")}))')})"
     start = "if(m like '+1%', 3, 1)"
-    phone = f"concat(substring(m, 1, {start} - 1), {_let('b', f'substring(m, {start})', _refill('b', net.text("regexp_replace(b, '[^0-9]', '')", _lit('nddndddddd'.replace('d', '#'))), '[0-9]'))})"
+    # All ten-digit numbers fall into three sets that are each permuted, so a possible number has one pseudonym with and without +1.
+    ranks = "case when substring(a, 1, 1) < '2' then 'z#########' when substring(a, 4, 1) < '2' then 'n##z######' else 'n##n######' end"
+    digits = _let("a", "regexp_replace(b, '[^0-9]', '')", net.text("a", ranks))
+    phone = f"concat(substring(m, 1, {start} - 1), {_let('b', f'substring(m, {start})', _refill('b', digits, '[0-9]'))})"
     payload = net.text("substring(a, 1, length(a) - 1)", "repeat('#', length(a) - 1)")
     checked = _let("p", payload, f"concat(p, cast((10 - {_luhn_sum('p', 1)} % 10) % 10 as string))")
     card = _let("a", _DIGITS, f"if({_luhn_sum('a', 0)} % 10 <> 0, m, {_refill('m', checked, '[0-9]')})")
