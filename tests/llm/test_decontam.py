@@ -67,3 +67,11 @@ def test_awkward_tables(spark):
     assert decontam.clean(docs, bench).columns == docs.columns
     assert decontam.leaks(cases.empty(spark), bench).count() == 0
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 and decontam.clean(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_items_without_id_count(spark):
+    item, other = "some passage of the benchmark that is long enough to matter", "another passage that is also long enough to be found in a text"
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, f"before {other} after"), (3, "neither of them")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, other), (5, other), (None, None)], "item_id long, text string")
+    assert sorted(((r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()), key=str) == [(1, None), (2, 5), (2, None)]
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [3]

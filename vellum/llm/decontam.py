@@ -13,7 +13,7 @@ Comparison is on bytes after lower-casing, with each white space as one space.
 short for the bound at their edit budget get the largest budget that has one; items shorter than q
 must occur exactly.
 
-Defined cases: a null or blank item matches nothing; a null or empty text has no match;
+Defined cases: an item with a null or blank text matches nothing; an item with a null item_id matches by its text and is returned as null; a null or empty text has no match;
 repeated documents are each judged; ties between alignments take the least distance, then the earliest
 end; a null doc_id is returned as it is; other columns are ignored; empty tables give no match.
 """
@@ -61,7 +61,7 @@ def slots(g: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Match:
-    item_id: int
+    item_id: int | None
     start: int
     end: int
     distance: int
@@ -96,7 +96,7 @@ def _distances(item: bytes, region: bytes, free: bool) -> np.ndarray:
 class Index:
     """q-grams of a block of items, with their places."""
 
-    def __init__(self, items: list[tuple[int, bytes]], share: float = EDIT_SHARE):
+    def __init__(self, items: list[tuple[int | None, bytes]], share: float = EDIT_SHARE):
         self.items = items
         self.short = [(i, x) for i, (_, x) in enumerate(items) if len(x) < Q]
         self.k = np.array([budget(len(x), share) for _, x in items], np.int64)
@@ -145,21 +145,21 @@ class Index:
         return found + list(best.values())
 
 
-def blocks(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
+def blocks(benchmark: DataFrame) -> list[list[tuple[int | None, bytes]]]:
     """The items as lists that each fit a task; their number of blocks grows with the benchmark."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n = -(-size // BLOCK_BYTES)
     out = []
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        items = sorted({(r.item_id, x) for r in part.collect() if (x := normal(r.text).strip())})
+        items = sorted({(r.item_id, x) for r in part.collect() if (x := normal(r.text).strip())}, key=lambda i: (i[0] is None, i[0] or 0, i[1]))
         if items:
             out.append(items)
     return out
 
 
-def _match_rows(items: list[tuple[int, bytes]], share: float):
+def _match_rows(items: list[tuple[int | None, bytes]], share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items, share)
         for batch in batches:
