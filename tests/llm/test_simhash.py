@@ -66,7 +66,7 @@ def test_against_all_pairs(spark):
     assert simhash.near_duplicates(cases.empty(spark)).count() == 0 and simhash.keep_one(cases.empty(spark)).count() == 0
 
 
-def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
+def test_large_buckets_are_cut_by_finer_masks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rng = random.Random(3)
     base = rng.getrandbits(64)
@@ -89,3 +89,15 @@ def test_forest_connects_what_links():
     prints = np.unique(rng.integers(0, 1 << 12, 300).astype(np.uint64) * np.uint64(1 << 40))
     a, b = simhash.forest(prints, 2)
     assert (np.bitwise_count(a ^ b) <= 2).all()
+
+
+def test_finer_masks_cover_what_the_first_leaves_out():
+    rng = random.Random(6)
+    for kept in simhash.covering_masks()[::6]:
+        kept &= (1 << 64) - 1
+        left = [b for b in range(64) if not kept >> b & 1]
+        finer = [m & (1 << 64) - 1 for m in simhash.refining_masks(kept, 4)]
+        assert all(m & kept == kept and m.bit_count() > kept.bit_count() for m in finer)
+        for _ in range(300):
+            diff = sum(1 << b for b in rng.sample(left, rng.randint(1, 4)))
+            assert any(m & diff == 0 for m in finer)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words: U+0020 and U+0009 to U+000D.  ``bytes.split()``
@@ -20,6 +20,8 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 
 #: Records in one Arrow batch; long texts make larger batches needlessly heavy.
 ARROW_RECORDS = 1000
+#: Bins that keys are counted in before hot ones are looked for, and tasks that a label's rows are dealt over.
+BINS, SALTS = 1 << 16, 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,11 +83,30 @@ def words_column(text: str) -> str:
     return f"if({trimmed} = '', cast(array() as array<string>), split({trimmed}, '[\\\\x20\\\\x09-\\\\x0D]+'))"
 
 
+def hot_keys(rows: DataFrame, keys: list[str], limit: int, *more: Column) -> DataFrame:
+    """The keys that over ``limit`` rows share, with their number ``n`` and the aggregates ``more``: a staged frame.
+
+    Rows are first counted by a hash of the key into a fixed number of bins, which combines
+    before the shuffle; keys are counted only in bins over the limit, as no other can hold a hot one.
+    """
+    bin_of = F.pmod(F.xxhash64(*keys), F.lit(BINS))
+    full = rows.groupBy(bin_of.alias("_bin")).agg(F.count("*").alias("n")).where(F.col("n") > limit).select("_bin")
+    some = rows.withColumn("_bin", bin_of).join(F.broadcast(full), "_bin", "left_semi").drop("_bin")
+    return staged(some.groupBy(*keys).agg(F.count("*").alias("n"), *more).where(F.col("n") > limit), "hot-keys")
+
+
+def on_label(rows: DataFrame, found: DataFrame, label: str, spread: str) -> DataFrame:
+    """``rows`` joined to ``found``, which has one row a label; a label's rows are dealt over ``SALTS`` tasks by the hash of ``spread``."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    every = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, [label, "_salt"]).drop("_salt")
+
+
 def pair_components(edges: DataFrame, tag: str, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list of longs: rows (node, label), label the least node.
 
-    Alternates the large-star and small-star steps; each round is staged, nothing but two
-    numbers a round reaches the driver.  The rounds grow with the logarithm of the diameter.
+    Alternates the large-star and small-star steps; each round is staged and the one before it
+    discarded, nothing but two numbers a round reaches the driver.  The rounds grow with the logarithm of the diameter.
     Hubs are split by adaptive skew joins, and minima are combined before the shuffle.
     """
     spark = edges.sparkSession
@@ -103,7 +124,10 @@ def pair_components(edges: DataFrame, tag: str, a: str = "a", b: str = "b") -> D
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         moved = down.join(low, "u")
         small = moved.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = staged(small, tag)
+        before, now = now, staged(small, tag)
+        discard(before)
         release(spark)
     stars = now.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
-    return stars.union(stars.select(F.col("label").alias("node"), "label").distinct())
+    out = staged(stars.union(stars.select(F.col("label").alias("node"), "label").distinct()), tag)
+    discard(now)
+    return out

@@ -1,15 +1,17 @@
-"""Near-duplicates by the exact Jaccard similarity of five-word shingle sets.
+"""SimHash near-duplicates of five-word shingle sets, at a similarity of 0.8 or more.
 
-Two texts link when their sets' similarity is at least ``SIMILAR``; groups are what links
-connect.  Pairs are found by prefix filtering: with the shingles of every set in one common order, the
-first n - ceil(SIMILAR * n) + 1 of n shingles of two linked sets share at least one.  Any order
-keeps all pairs; ours puts shingles that are frequent in a sample of documents last, so common
-lines seldom make candidates.  Candidates are checked on the whole sets.
+The operator of ``simhash`` with wide fingerprints, for edited copies: a text's distinct shingles vote on ``PARTS``
+fingerprints of ``PART_BITS`` bits each, and covering masks of radius ``PART_RADIUS`` over each part make the buckets.
+Two texts that differ in at most PARTS * (PART_RADIUS + 1) - 1 bits over all parts differ in at most
+PART_RADIUS in some part, and so always meet.  At a Jaccard similarity of just 0.8 an eighth to a sixth of the bits differ, which is
+beyond that; such pairs meet in one of the 180 buckets by chance, with the probability that the
+README gives.  A radius that covered them for sure would take over ten thousand masks.
 
-Where many texts share a prefix shingle, each is first checked against one leader only.  Then all
-pairs that these links do not connect are met, so a large tight group gives links in
-proportion to its size and no pair is left out.  A pair is checked on its texts only where the number and
-places of its shared prefix shingles leave the similarity possible.
+Members of a bucket that differ in at most ``CHECK_BITS`` bits of a separate 64-bit print are candidates, and
+candidates link if the Jaccard similarity of their whole shingle sets is at least ``SIMILAR``; groups are
+what links connect.  Small buckets compare all members.  In large ones each is compared with a few
+leaders first, and after that only members that these links leave apart are met, so a large tight group costs in proportion to its size and no
+candidate between two groups is left out.  Buckets over ``BLOCK`` are dealt over many tasks.
 
 Defined cases: words are split at white space, letters A to Z in lower case; a text of fewer
 than five words is one shingle, a null or blank text is the empty shingle; equal texts are one
@@ -23,19 +25,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pair_components, release, small_batches, staged
-from .simhash import one_each
+from .common import discard, hot_keys, pair_components, release, small_batches, staged
+from .simhash import BLOCK, bit_counts, covering_masks, forest, grouped, numbered, one_each
 
 SHINGLE_WORDS = 5
 #: Least Jaccard similarity of a link, as a fraction.
 SIMILAR = (4, 5)
-#: Documents that are counted, and shingles that are kept, to tell which are frequent.  Both bound only the order's table.
-ORDER_DOCUMENTS, ORDER_SHINGLES = 20_000, 300_000
-#: Texts that share a shingle and are met all by all; more than these go by a leader and by labels.
+PARTS, PART_BITS, PART_RADIUS = 12, 40, 3
+CHECK_BITS = 18
+#: Texts that share a bucket and are met all by all; more than these go by leaders and by labels.
 LARGE = 16
+#: Bucket rows that a task looks at together.
+CHUNK = 1 << 16
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -55,39 +59,95 @@ def node() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several sampled documents hold, ascending, and their counts."""
-    n = docs.count()
-    part = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // ORDER_DOCUMENTS))) == 0)
+_STEPS = (np.arange(1, PARTS + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()))], ["key"])
 
-    counted = part.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = counted.orderBy(F.desc("n"), "key").limit(ORDER_SHINGLES).toArrow().sort_by("key")
-    return rows.column("key").to_numpy(), rows.column("n").to_numpy()
+def wide_print(found: np.ndarray) -> np.ndarray:
+    """Of a set of shingle numbers: the parts, then the check print, as signed longs."""
+    votes = np.zeros(64 * (PARTS + 1), np.int64)
+    for i in range(0, len(found), 1 << 14):
+        h = found[i : i + (1 << 14)].view(np.uint64)[:, None] + _STEPS
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        votes += bit_counts((h ^ (h >> np.uint64(31))).view(np.uint8).reshape(len(h), -1))
+    words = np.packbits(2 * votes > len(found)).view(np.uint64)
+    words[:PARTS] >>= np.uint64(64 - PART_BITS)
+    return words.view(np.int64)
 
 
-def _prefixes(keys: np.ndarray, counts: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = SIMILAR
-        for batch in batches:
-            sizes, firsts = [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py())
-                count = np.zeros(len(s), np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    count = np.where(keys[at] == s, counts[at], 0)
-                sizes.append(len(s))
-                firsts.append(s[np.lexsort((s, count))][: len(s) - -(-a * len(s) // b) + 1])
-            lengths = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists], ["fp", "size", "prefix"])
+def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.array([wide_print(shingles(t.as_py())) for t in batch.column(1)], np.int64).reshape(batch.num_rows, PARTS + 1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * PARTS), pa.array(prints[:, :PARTS].ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[:, PARTS].copy()), lists], ["fp", "check", "parts"])
+
+
+def _buckets(prints: DataFrame) -> DataFrame:
+    """Rows (key, fp, check): a text's buckets, named by the number of the mask over the bits that it keeps."""
+    masks = covering_masks(PART_RADIUS, PART_BITS)
+    keys = [F.col("parts")[p].bitwiseAND(F.lit(m)).bitwiseOR(F.lit((p * len(masks) + i) << PART_BITS)) for p in range(PARTS) for i, m in enumerate(masks)]
+    return prints.select("fp", "check", F.explode(F.array(*keys)).alias("key"))
 
-    return run
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Sorted rows (key, salt, fp, check) in arrays that end where a bucket does or is over BLOCK."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def joined() -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+    for batch in batches:
+        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
+        n += batch.num_rows
+        if n >= CHUNK:
+            rows = joined()
+            same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+            cut = int(np.argmax(same)) if n - int(np.argmax(same)) < BLOCK else n
+            yield tuple(c[:cut] for c in rows)
+            held, n = [tuple(c[cut:] for c in rows)], n - cut
+    if held:
+        yield joined()
+
+
+_FOUND = "member boolean, a long, b long, key long"
+
+
+def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b), a below b, and the members (a, with print b) of large buckets."""
+    for key, salt, fp, check in _runs(batches):
+        if len(key) < 2:
+            continue
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
+        bucket, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        sizes = np.diff(np.concatenate((starts, [len(key)])))
+        small, print64 = sizes[bucket] <= LARGE, check.view(np.uint64)
+        left, right = [], []
+        for d in range(1, LARGE):
+            at = np.flatnonzero((bucket[d:] == bucket[:-d]) & small[:-d])
+            if not len(at):
+                break
+            at = at[np.bitwise_count(print64[at] ^ print64[at + d]) <= CHECK_BITS]
+            left.append(fp[at])
+            right.append(fp[at + d])
+        for b in np.flatnonzero(sizes > LARGE).tolist():
+            s, e = int(starts[b]), int(starts[b] + sizes[b])
+            for x, y in forest_of(fp[s:e], print64[s:e]):
+                left.append(x)
+                right.append(y)
+        a, b = np.concatenate(left), np.concatenate(right)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(a), np.int64))], ["member", "a", "b", "key"])
+        if not small.all():
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int((~small).sum()), bool)), pa.array(fp[~small]), pa.array(check[~small]), pa.array(key[~small])], ["member", "a", "b", "key"])
+
+
+def forest_of(fp: np.ndarray, print64: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes that connect what candidates connect in a bucket; equal prints go through the first node that has them."""
+    prints, first, at = np.unique(print64, return_index=True, return_inverse=True)
+    heads = fp[first][at]
+    yield heads[heads != fp], fp[heads != fp]
+    a, b = forest(prints[np.argsort(fp[first])], CHECK_BITS)
+    yield fp[first][np.searchsorted(prints, a)], fp[first][np.searchsorted(prints, b)]
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,80 +165,72 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose texts are similar enough."""
-    pairs = staged(pairs, "near-pairs")
+    """Those of the staged pairs (a, b) of nodes whose texts are similar enough."""
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     texts = docs.select(node().alias("fp"), "text").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
     texts = staged(texts, "near-texts")
     left, right = texts.selectExpr("fp as a", "text as x"), texts.selectExpr("fp as b", "text as y")
     small_batches(docs.sparkSession)
-    return staged(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "near-links")
-
-
-def _possible(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that may be similar enough, of rows (a, b, size_a, size_b, place_a, place_b), one for each shared prefix shingle.
-
-    Where c shingles are shared, all others that both sets hold come after the last shared one, and after
-    the end of the prefix that ends first.
-    """
-    t, u = SIMILAR
-    rest = " ".join(f"(({t} * size_{x} + {u - 1}) div {u} - 1){',' if x == 'a' else ''}" for x in "ab")
-    most = f"c + least(size_a - 1 - last_a, size_b - 1 - last_b, greatest({rest}))"
-    seen = pairs.where(f"{t} * size_a <= {u} * size_b and {t} * size_b <= {u} * size_a").groupBy("a", "b", "size_a", "size_b")
-    return seen.agg(F.count("*").alias("c"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b")).where(f"{u + t} * ({most}) >= {t} * (size_a + size_b)").select("a", "b")
+    found = staged(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "near-links")
+    discard(texts)
+    release(docs.sparkSession)
+    return found
 
 
-_PAIR = [f"{s}.{c} as {n}_{x}" if n else f"{s}.{c} as {x}" for s, x in (("l", "a"), ("r", "b")) for c, n in (("fp", ""), ("size", "size"), ("place", "place"))]
+def _labelled(rows: DataFrame, parts: DataFrame, node: str, label: str) -> DataFrame:
+    """``rows`` with the label of a node; nodes without links are their own."""
+    known = parts.select(F.col("node").alias(node), F.col("label").alias(label))
+    return rows.join(known, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def _apart(own: DataFrame) -> DataFrame:
-    """Pairs of rows with one key and different labels; a large key's are met label by label, so equal labels cost nothing."""
-    few, many = own.where(f"n <= {LARGE}"), own.where(f"n > {LARGE}")
-    t, u = SIMILAR
-    near = f"{t} * l.size <= {u} * r.size and {t} * r.size <= {u} * l.size"
-    found = few.alias("l").join(few.alias("r"), F.expr(f"l.key = r.key and l.fp < r.fp and l.label <> r.label and {near}")).selectExpr(*_PAIR)
-    kinds = many.select("key", "label").distinct()
-    both = kinds.alias("x").join(kinds.alias("y"), F.expr("x.key = y.key and x.label < y.label")).selectExpr("x.key as k", "x.label as lx", "y.label as ly")
-    met = both.join(many.alias("l"), F.expr("k = l.key and lx = l.label")).join(many.alias("r"), F.expr(f"k = r.key and ly = r.label and {near}"))
-    return found.union(met.selectExpr(*_PAIR))
+def _members_apart(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Candidates of large buckets that links leave apart; buckets of one label cost no pair."""
+    own = staged(_labelled(members, parts, "fp", "label"), "near-members")
+    mixed = own.groupBy("key").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("key")
+    own = staged(own.join(mixed, "key", "left_semi"), "near-apart")
+    met = own.alias("l").join(own.alias("r"), F.expr(f"l.key = r.key and l.fp < r.fp and l.label <> r.label and bit_count(l.check ^ r.check) <= {CHECK_BITS}"))
+    return met.selectExpr("l.fp as a", "r.fp as b").distinct()
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """Rows (a, b) over nodes: enough links to connect all that link."""
+    """Rows (a, b) over nodes: enough links to connect all candidates that are similar."""
     spark = docs.sparkSession
     small_batches(spark)
-    found = docs.select(node().alias("fp"), "text").mapInArrow(_prefixes(*frequent(docs)), "fp long, size int, prefix array<long>")
-    rows = staged(found, "near-prefixes").dropDuplicates(["fp"]).select("fp", "size", F.posexplode("prefix").alias("place", "key"))
-    same = Window.partitionBy("key")
-    shared = rows.withColumn("lead", F.min(F.struct("fp", "size", "place")).over(same)).withColumn("n", F.count("*").over(same)).where("n > 1")
-    shared = staged(shared, "near-shared")
+    prints = staged(docs.select(node().alias("fp"), "text").mapInArrow(_print_rows, "fp long, check long, parts array<long>"), "near-prints")
+    rows = _buckets(prints.dropDuplicates(["fp"]))
+    hot = hot_keys(rows, ["key"], BLOCK, F.min(F.struct("fp", "check")).alias("lead"))
+    many = not hot.isEmpty()
+    salt = F.lit(0)
+    if many:  # their rows are dealt over tasks
+        rows = rows.join(hot, "key", "left")
+        salt = F.coalesce(F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)).cast("int"), salt)
+    dealt = rows.select("key", salt.alias("salt"), "fp", "check").repartition("key", "salt").sortWithinPartitions("key", "salt", "fp")
+    found = staged(dealt.mapInArrow(_bucket_rows, _FOUND), "near-buckets")
     release(spark)
-    led = shared.where(f"n > {LARGE} and fp <> lead.fp").selectExpr("lead.fp as a", "lead.size as size_a", "lead.place as place_a", "fp as b", "size as size_b", "place as place_b")
-    first = similar(docs, _possible(led))
-    parts = staged(pair_components(first, "near-parts"), "near-parts")
-    own = shared.join(parts, shared.fp == parts.node, "left").select("key", "fp", "size", "place", "n", F.coalesce("label", "fp").alias("label"))
-    mixed = own.groupBy("key").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("key")
-    own = staged(own.join(mixed, "key", "left_semi"), "near-apart")
-    apart = _apart(own)
-    ordered = apart.selectExpr("least(a, b) as a", "greatest(a, b) as b", *(f"if(a < b, {c}_{x}, {c}_{y}) as {c}_{x}" for c in ("size", "place") for x, y in ("ab", "ba")))
-    return first.union(similar(docs, _possible(ordered)))
+    pairs = found.where("not member").select("a", "b")
+    if many:
+        led = rows.where(f"n is not null and fp <> lead.fp and bit_count(check ^ lead.check) <= {CHECK_BITS}")
+        pairs = pairs.union(led.selectExpr("lead.fp as a", "fp as b"))
+    pairs = staged(pairs.distinct(), "near-candidates")
+    first = staged(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-first")
+    linked = similar(docs, first)
+    parts = pair_components(linked, "near-parts")
+    rest = _labelled(_labelled(pairs.join(first, ["a", "b"], "left_anti"), parts, "a", "la"), parts, "b", "lb").where("la <> lb").select("a", "b")
+    linked = linked.union(similar(docs, staged(rest, "near-rest")))
+    members = found.where("member").selectExpr("a as fp", "b as check", "key")
+    if members.isEmpty():
+        return linked
+    parts = pair_components(linked, "near-parts")
+    apart = staged(_members_apart(members, parts).join(pairs, ["a", "b"], "left_anti"), "near-late")
+    return linked.union(similar(docs, apart))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, fp, component_id), one for each row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node().alias("fp"))
-    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    parts = staged(pair_components(links(docs), "near-parts"), "near-parts")
-    release(docs.sparkSession)
-    own = staged(reps.join(parts, reps.fp == parts.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("label")), "near-own")
-    least = own.groupBy("label").agg(F.min("rep").alias("component_id"))
-    return rows.join(own.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def _text_nodes(texts: DataFrame) -> DataFrame:
-    return texts.select("text", node().alias("fp"))
+    """Rows (doc_id, fp, row, component_id, label), one for each row of ``docs``; fp is the text's node."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node().alias("fp"), numbered(docs).alias("row"))
+    return grouped(staged(rows, "near-rows"), links(docs), "near-parts")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, as ``simhash.keep_one`` chooses it."""
-    return one_each(docs, near_duplicates(docs), _text_nodes)
+    """``docs`` with one document of each component, as ``simhash.one_each`` chooses it."""
+    return one_each(docs, near_duplicates(docs))

@@ -15,21 +15,25 @@ columns besides doc_id and text are ignored; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
-from .common import pair_components, release, small_batches, staged
+from .common import hot_keys, on_label, pair_components, release, small_batches, staged
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-#: Members of a bucket that one task compares at once; larger buckets are compared in blocks.
-BLOCK = 4096
+#: Members of a bucket that one task compares at once; larger buckets are cut by further masks, but for
+#: those whose mask leaves out so few bits that they cannot be much larger.
+BLOCK, SMALL_BITS = 4096, 11
 
 
 def simhash64(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
@@ -45,23 +49,28 @@ def simhash64(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     hashed, seed = xxhash.xxh64_intdigest, SEED
     values = np.fromiter((hashed(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
-    votes = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 15):
-        part = values[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    votes = bit_counts(values.astype(">u8").view(np.uint8).reshape(-1, 8))
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How often each bit is set over rows of a multiple of eight bytes; eight counts are added in one number."""
+    votes = np.zeros(8 * rows.shape[1], np.int64)
+    for i in range(0, len(rows), 255):
+        votes += np.unpackbits(rows[i : i + 255], axis=1).view(np.uint64).sum(axis=0).view(np.uint8)
+    return votes
+
+
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((simhash64(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["doc_id", "row", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, fp): fp is the fingerprint as a signed long."""
+    """Rows (doc_id, row, fp): the row's content number and its fingerprint as a signed long."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", numbered(docs).alias("row")).mapInArrow(_fingerprint, "doc_id long, row long, fp long")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -94,12 +103,17 @@ def forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-_LINKS = "a long, b long, mask int, key long, n_blocks int"
-
+def refining_masks(kept: int, radius: int) -> list[int]:
+    """Masks that hold ``kept`` and cover the positions it leaves out, as signed longs.
 
-def _emit(a: np.ndarray, b: np.ndarray, mask: int = -1, key: int = 0, n_blocks: int = 0) -> pa.RecordBatch:
-    n = len(a)
-    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(n, mask, np.int32)), pa.array(np.full(n, key, np.int64)), pa.array(np.full(n, n_blocks, np.int32))], ["a", "b", "mask", "key", "n_blocks"])
+    Two fingerprints that agree on ``kept`` and differ in at most ``radius`` bits agree under one of them.
+    """
+    top = (1 << (radius + 1)) - 1
+    stride = next(k for k in range(top // 3 + 1, 2 * top + 2) if math.gcd(k, top) == 1)
+    left = [i for i in range(64) if not kept >> i & 1]
+    vectors = [1 + i * stride % top for i in range(len(left))]
+    masks = {(kept | sum(1 << i for i, m in zip(left, vectors, strict=True) if (m & v).bit_count() & 1)) & (1 << 64) - 1 for v in range(1, top + 1)}
+    return sorted(m - (1 << 64) if m >> 63 else m for m in masks)
 
 
 def _bucket_links(radius: int):
@@ -110,12 +124,10 @@ def _bucket_links(radius: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             prints = np.concatenate(carry)
-            if len(prints) > BLOCK:
-                yield _emit(prints, prints, *key_now, -(-len(prints) // BLOCK))
-            elif len(prints) > 1:
+            if len(prints) > 1:
                 a, b = forest(prints, radius)
                 if len(a):
-                    yield _emit(a, b)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
             mask, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -138,79 +150,73 @@ def _bucket_links(radius: int):
     return run
 
 
-def _block_links(radius: int):
-    def run(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        fp = np.concatenate([b.column("fp").to_numpy() for b in parts]).view(np.uint64)
-        a, b = forest(fp, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    return run
-
-
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows (a, b) over distinct fingerprints ``fp``: enough links to connect all that link.
 
-    A bucket over ``BLOCK`` members is cut into blocks and every two blocks meet in a task
-    of their own, so memory is bounded and no link is lost; nowhere are all pairs emitted.
+    Buckets are counted before anything moves.  One over ``BLOCK`` members is cut by covering
+    masks of the bits that its own mask leaves out, again until it is small enough or has so few
+    bits left that it must be: memory is bounded, no task gets a hot bucket whole, rows grow
+    by the number of masks and not by pairs, and no link is lost.
     """
-    masks = covering_masks(radius)
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key"))
-    dealt = keyed.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
-    found = staged(dealt.mapInArrow(_bucket_links(radius), _LINKS), "simhash-links")
-    direct = found.where("mask < 0").select("a", "b")
-    if (hot := found.where("mask >= 0")).isEmpty():
-        return direct.distinct()
-    own = hot.select("mask", "key", F.col("a").alias("fp"), F.pmod(F.xxhash64("a"), F.col("n_blocks")).cast("int").alias("own"), F.explode(F.expr("sequence(0, n_blocks - 1)")).alias("other"))
-    blocks = own.select("mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    return direct.union(blocks.groupBy("mask", "key", "i", "j").applyInArrow(_block_links(radius), "a long, b long")).distinct()
+    spark, out = prints.sparkSession, []
+    prints = prints.select("fp")
+    now = prints.select("fp", F.explode(F.array(*[F.lit(m) for m in covering_masks(radius)])).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    while True:
+        hot = hot_keys(now.where(64 - F.bit_count("mask") > SMALL_BITS), ["mask", "key"], BLOCK).select("mask", "key")
+        masks = [r["mask"] for r in hot.select("mask").distinct().collect()]  # at most the masks of a level, whatever the data
+        cold = now.join(hot, ["mask", "key"], "left_anti") if masks else now
+        dealt = cold.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
+        out.append(staged(dealt.mapInArrow(_bucket_links(radius), "a long, b long"), "simhash-links"))
+        release(spark)
+        if not masks:
+            return functools.reduce(DataFrame.union, out).distinct()
+        finer = spark.createDataFrame([(m, refining_masks(m, radius)) for m in masks], "mask long, finer array<long>")
+        cut = now.join(hot, ["mask", "key"], "left_semi").join(F.broadcast(finer), "mask").select("fp", F.explode("finer").alias("mask"))
+        now = staged(cut.distinct().withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))), "simhash-finer")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (doc_id, fp, component_id), one for each row of ``docs``."""
-    spark = docs.sparkSession
+    """Rows (doc_id, row, fp, component_id, label), one for each row of ``docs``; label names the component among fingerprints."""
     rows = staged(fingerprints(docs), "simhash-prints")
-    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    parts = staged(pair_components(links(reps.select("fp"), radius), "simhash-parts"), "simhash-parts")
-    release(spark)
-    own = reps.join(parts, reps.fp == parts.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    least = own.groupBy("label").agg(F.min("rep").alias("component_id"))
-    return rows.join(own.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return grouped(rows, links(rows.select("fp").distinct(), radius), "simhash-parts")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: the row whose doc_id names it.
-
-    Rows that share this doc_id: the first by text stays.  Rows without doc_id are kept only
-    where their component has no doc_id at all, one for each fingerprint text.
-    """
-    return one_each(docs, near_duplicates(docs, radius), lambda texts: texts.select("text").mapInArrow(_text_prints, "text string, fp long"))
-
-
-def one_each(docs: DataFrame, found: DataFrame, printed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``docs`` with one document of each component of ``found``; ``printed`` gives (text, fp) of texts."""
-    from pyspark.sql import Window
+def grouped(rows: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
+    """``rows`` (doc_id, fp, ...) with the label that ``pairs`` (a, b) over fp give, and the component_id: the label's least doc_id."""
+    parts = pair_components(pairs, tag)
+    release(rows.sparkSession)
+    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    own = staged(reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left"), tag)
+    linked = own.where("label is not null")
+    least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = on_label(linked, least, "label", "fp").select("fp", "component_id", "label")
+    every = named.union(own.where("label is null").select("fp", F.col("rep").alias("component_id"), F.col("fp").alias("label")))
+    return rows.join(every, "fp").select(*rows.columns, "component_id", "label")
 
-    named = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in ("text", "source", "lang") if c in docs.columns])
-    one = kept.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
-    orphan = found.where("component_id is null").select("fp").distinct()
-    return one.unionByName(_orphans(docs, orphan, printed))
 
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each component, see ``one_each``."""
+    return one_each(docs, near_duplicates(docs, radius))
 
-def _orphans(docs: DataFrame, prints: DataFrame, printed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One row of each text among rows without doc_id whose component has no doc_id."""
-    loose = docs.where("doc_id is null")
-    if loose.isEmpty():
-        return loose
-    small_batches(docs.sparkSession)
-    texts = loose.dropDuplicates(["text"])
-    found = printed(texts).join(prints, "fp", "left_semi").dropDuplicates(["fp"])
-    return texts.join(found.select(F.col("text").alias("_text")), F.col("text").eqNullSafe(F.col("_text"))).drop("_text")
 
+def one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of ``found`` (doc_id, row, component_id, label): the one whose doc_id names it.
 
-def _text_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.fromiter((simhash64(x.as_py()) for x in batch.column(0)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["text", "fp"])
+    Of rows that share this doc_id, the one of the least content number stays; of equal rows, one.  A row without
+    doc_id stays only where its component has no doc_id at all.  Texts move once, to the
+    table of rows that stay, or not at all where that table is small.
+    """
+    found = staged(found, "near-found")
+    named = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("row").alias("row"))
+    loose = found.where("component_id is null").groupBy("label").agg(F.min("row").alias("row"))
+    chosen = staged(named.select("row").union(loose.select("row")).select(F.col("row").alias("_row")), "near-kept")
+    twice = staged(found.groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("n")).where("n > 1").join(chosen, "_row", "left_semi").select("_row"), "near-twice")
+    kept = docs.withColumn("_row", numbered(docs)).join(chosen, "_row", "left_semi")
+    if twice.isEmpty():
+        return kept.drop("_row")
+    return kept.join(twice, "_row", "left_anti").unionByName(kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"])).drop("_row")
+
+
+def numbered(docs: DataFrame) -> Column:
+    """A number of a row's whole content; only equal rows share one."""
+    return F.xxhash64(*[F.coalesce(F.to_json(c) if isinstance(t, (ArrayType, MapType, StructType)) else F.col(c).cast("string"), F.lit("\0null")) for c, t in ((f.name, f.dataType) for f in docs.schema)])
