@@ -75,3 +75,45 @@ def test_items_without_id_count(spark):
     bench = spark.createDataFrame([(None, item), (None, other), (5, other), (None, None)], "item_id long, text string")
     assert sorted(((r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()), key=str) == [(1, None), (2, 5), (2, None)]
     assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [3]
+
+
+def test_repetitive_texts_against_full_alignment(monkeypatch):
+    rng = random.Random(9)
+    for pairs in (1 << 20, 64):
+        monkeypatch.setattr(decontam, "PAIRS", pairs)
+        for alphabet in ("a", "ab", "aab "):
+            items = [(i, "".join(rng.choices(alphabet, k=rng.randint(10, 60))).strip().encode()) for i in range(6)]
+            items = [(i, x) for i, x in items if len(x) >= 8]
+            index = decontam.Index(items)
+            for _ in range(12):
+                text = "".join(rng.choices(alphabet, k=rng.randint(0, 150))) + "zz" + mutated(rng, items[0][1].decode(), rng.randint(0, 5)) + "zz" * rng.randint(0, 2)
+                got = {m.item_id: m.distance for m in index.matches(text)}
+                assert got == {i: n for i, x in items if (n := edits(x.decode(), text)) <= decontam.budget(len(x))}
+                for m in index.matches(text):
+                    assert edits_whole(dict(items)[m.item_id].decode(), text[m.start : m.end]) == m.distance
+
+
+def edits_whole(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_one_letter_a_million_times_in_bounded_memory():
+    import tracemalloc
+
+    index = decontam.Index([(1, b"a" * 500), (2, b"ab" * 250)])
+    for text, found in (("a" * 1_000_000, {1: 0}), ("b" * 500_000 + "ba" * 250_000, {2: 0})):
+        tracemalloc.start()
+        assert {m.item_id: m.distance for m in index.matches(text)} == found
+        assert tracemalloc.get_traced_memory()[1] < 500 << 20
+        tracemalloc.stop()
+
+
+def test_the_table_has_2k_1_diagonals():
+    row, low = decontam._banded(b"some passage of text", b"here is some pasage of text", 5, 11, free=True)
+    assert (len(row), low, row.min()) == (7, 5, 1)

@@ -2,9 +2,10 @@
 
 A passage within k edits of a benchmark item of length m shares at least m - q + 1 - kq
 q-grams with it, all on diagonals that lie within k of each other.  Shared q-grams are counted in
+diagonal bands of twice the step 2k + 1, each overlapping the next by half, so some band in
 diagonal bands of twice the step 2k + 1, each overlapping the next by half, so some band holds
-all of them; only bands that reach the bound go on to a semi-global alignment of the item
-with the region of the text that the band covers, and only distances within k count.
+all of them; only bands that reach the bound go on to a semi-global alignment of the item with the text, banded to
+k diagonals on either side of those that hold the shared q-grams, and only distances within k count.
 
 The items are the stated query set: they travel to every task in blocks of a bounded size,
 one pass over the documents for each block (one block for any usual benchmark).
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, staged
 
 Q = 8
 EDIT_SHARE = 0.1
 #: Bytes of benchmark text that travel to the tasks at once.
 BLOCK_BYTES = 8 << 20
+#: Pairs of a text's and the items' q-grams that are held at once.
+PAIRS = 1 << 20
 _BITS = 22
 _BAND = 1 << 40
 _SPACE = bytes(32 if c in b"\t\n\r\x0b\x0c" else c for c in range(256))
@@ -67,30 +70,64 @@ class Match:
     distance: int
 
 
-def align(item: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
-    """Least edits of ``item`` against a stretch of ``region``: (start, end, distance), or None beyond k."""
-    at = region.find(item)
-    if at >= 0:
-        return at, at + len(item), 0
-    if k == 0:
-        return None
-    last = _distances(item, region, free=True)
-    end = int(np.argmin(last))
-    if last[end] > k:
-        return None
-    back = _distances(item[::-1], region[max(0, end - len(item) - k) : end][::-1], free=False)
-    return end - int(np.argmin(back)), end, int(last[end])
-
-
-def _distances(item: bytes, region: bytes, free: bool) -> np.ndarray:
-    """Last row of the alignment table; with ``free`` the item may start anywhere."""
-    r, along = np.frombuffer(region, np.uint8), np.arange(len(region) + 1)
-    row = np.zeros(len(region) + 1, np.int64) if free else along.copy()
-    for i, c in enumerate(item):
-        best = np.minimum(row[1:] + 1, row[:-1] + (r != c))
-        best = np.concatenate(([i + 1], best))
+def align(item: bytes, raw: bytes, k: int, centres: list[int]) -> tuple[int, int, int] | None:
+    """Least edits of ``item`` against a stretch of ``raw`` near some diagonals: (start, end, distance), or None beyond k.
+
+    An alignment within k edits that passes a diagonal stays within k of it, so the table has 2k + 1 diagonals
+    for each centre; those that overlap are one table.
+    """
+    best: tuple[int, int, int] | None = None
+    for first, last in _merged(centres, k):
+        at = raw.find(item, max(0, first - k), max(0, last + k + len(item)))
+        if at >= 0:
+            got = at, at + len(item), 0
+        elif k == 0:
+            continue
+        else:
+            row, low = _banded(item, raw, first - k, last + k, free=True)
+            where = int(np.argmin(row))
+            if row[where] > k:
+                continue
+            end = low + where + len(item)
+            back, turned = _banded(item[::-1], raw[max(0, end - len(item) - k) : end][::-1], -k, k, free=False)
+            got = end - (turned + int(np.argmin(back)) + len(item)), end, int(row[where])
+        if best is None or (got[2], got[1]) < (best[2], best[1]):
+            best = got
+    return best
+
+
+def _merged(centres: list[int], k: int) -> Iterator[tuple[int, int]]:
+    """Runs (first, last) of the sorted centres whose bands of k to either side overlap."""
+    first = last = centres[0]
+    for c in centres[1:]:
+        if c - last > 2 * k:
+            yield first, last
+            first = c
+        last = c
+    yield first, last
+
+
+def _banded(item: bytes, raw: bytes, low: int, high: int, free: bool) -> tuple[np.ndarray, int]:
+    """Last row of the alignment table over the diagonals ``low`` to ``high`` (place in ``raw`` less place in ``item``), and ``low``.
+
+    With ``free`` the item may start anywhere, else at the start of ``raw``.  Places outside ``raw`` cost too much.
+    """
+    n, width, never = len(raw), high - low + 1, len(item) + len(raw) + 1
+    text = np.full(width + len(item) + 1, 256, np.int64)  # text[i + d] is the byte before place low + i + d
+    s, e = max(0, low - 1), min(n, low + len(text) - 1)
+    if e > s:
+        text[s - low + 1 : e - low + 1] = np.frombuffer(raw, np.uint8, e - s, s)
+    place, along = np.arange(low, high + 1), np.arange(width)
+    row = np.where((place >= 0) & (place <= n), 0 if free else place, never)
+    for i, c in enumerate(item, 1):
+        best = row + (text[i : i + width] != c)
+        np.minimum(best[:-1], row[1:] + 1, out=best[:-1])
+        at = place + i
+        best[(at < 0) | (at > n)] = never
+        if not free and 0 <= -i - low < width:
+            best[-i - low] = i
         row = np.minimum.accumulate(best - along) + along
-    return row
+    return row, low
 
 
 class Index:
@@ -108,6 +145,7 @@ class Index:
         order = np.argsort(key, kind="stable")
         self.item, self.place = item[order], place[order].astype(np.int64)
         self.keys, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
+        self.of_key = np.repeat(np.arange(len(self.keys)), self.count)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[slots(self.keys)] = True
 
@@ -121,42 +159,99 @@ class Index:
         at = np.minimum(np.searchsorted(self.keys, g[p]), len(self.keys) - 1)
         same = self.keys[at] == g[p]
         p, at = p[same], at[same]
-        n = self.count[at]
-        hit = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum())) if len(at) else at
-        item, diagonal = self.item[hit], np.repeat(p, n) - self.place[hit]
-        step = 2 * self.k[item] + 1
-        band = diagonal // step
-        code = item * _BAND + band + (_BAND >> 1)
-        # The lemma speaks of an item's q-grams, so one that occurs again in the band counts once.
-        codes, at = np.unique(np.concatenate((code, code - 1)), return_inverse=True)
-        longest = int(self.place.max()) + 1
-        distinct = np.unique(at * longest + np.tile(self.place[hit], 2)) // longest
-        enough = np.bincount(distinct, minlength=len(codes)) >= self.need[codes // _BAND]
         best: dict[int, Match] = {}
-        for c in codes[enough].tolist():
-            i, b = c // _BAND, c % _BAND - (_BAND >> 1)
+        for i, centres in self._candidates(p, at):
             item_id, x = self.items[i]
-            k = int(self.k[i])
-            s = max(0, b * (2 * k + 1) - k)
-            e = (b + 2) * (2 * k + 1) + len(x) + k
-            got = align(x, raw[s:e], k)
-            if got and (i not in best or (got[2], s + got[1]) < (best[i].distance, best[i].end)):
-                best[i] = Match(item_id, s + got[0], s + got[1], got[2])
+            if i in best and best[i].distance == 0:
+                continue  # bands come in order, so no later one ends earlier
+            got = align(x, raw, int(self.k[i]), centres)
+            if got and (i not in best or (got[2], got[1]) < (best[i].distance, best[i].end)):
+                best[i] = Match(item_id, *got)
         return found + list(best.values())
 
+    def _hits(self, p: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place, diagonal) of the pairs of a text's q-grams ``at`` (sorted by ``p``) and the items', in arrays of bounded size.
 
-def blocks(benchmark: DataFrame) -> list[list[tuple[int | None, bytes]]]:
-    """The items as lists that each fit a task; their number of blocks grows with the benchmark."""
+        Where q-grams repeat so often that the pairs are many, of a q-gram's places in a stretch of
+        the text as long as an item's step only the first and last are paired: the others fall into the same bands.
+        """
+        n = self.count[at]
+        if int(n.sum()) <= PAIRS:
+            yield self._paired(p, at, self.first, n)
+            return
+        for k in np.unique(self.k).tolist():
+            pick = np.flatnonzero(self.k[self.item] == k)  # in the order of the keys
+            own = np.searchsorted(self.of_key[pick], np.arange(len(self.keys) + 1))
+            first, count = own[:-1], np.diff(own)
+            held = count[at] > 0
+            pk, ak = p[held], at[held]
+            if not len(pk):
+                continue
+            order = np.argsort(ak, kind="stable")
+            pk, ak = pk[order], ak[order]
+            cell = pk // (2 * k + 1)
+            new = np.concatenate(([True], (ak[1:] != ak[:-1]) | (cell[1:] != cell[:-1])))
+            ends = new | np.concatenate((new[1:], [True]))
+            pk, ak = pk[ends], ak[ends]
+            total = np.cumsum(count[ak])
+            cuts = np.unique(np.concatenate(([0], np.searchsorted(total, np.arange(PAIRS, int(total[-1]) + PAIRS, PAIRS)) + 1)).clip(0, len(pk)))
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield self._paired(pk[s:e], ak[s:e], first, count[ak[s:e]], pick)
+
+    def _paired(self, p: np.ndarray, at: np.ndarray, first: np.ndarray, n: np.ndarray, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hit = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        if pick is not None:
+            hit = pick[hit]
+        return self.item[hit], self.place[hit], np.repeat(p, n) - self.place[hit]
+
+    def _candidates(self, p: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """Items and diagonals to align at, one band after the other.
+
+        The lemma speaks of an item's q-grams, so one that occurs again in the band counts once.  An alignment has at
+        most k + 1 diagonals, so one of them holds its share of the q-grams that the bound asks for.
+        """
+        longest = int(self.place.max()) + 1
+        seen, lines = [], []
+        for item, place, diagonal in self._hits(p, at):
+            code = item * _BAND + diagonal // (2 * self.k[item] + 1) + (_BAND >> 1)
+            both, where = np.concatenate((code, code - 1)), np.concatenate((place, place))
+            codes, index = np.unique(both, return_inverse=True)
+            pairs = np.unique(index * longest + where)
+            seen.append((codes[pairs // longest], pairs % longest))
+            line, held = np.unique(item * _BAND + diagonal + (_BAND >> 1), return_counts=True)
+            lines.append((line, held))
+        codes, index = np.unique(np.concatenate([c for c, _ in seen]), return_inverse=True)
+        pairs = np.unique(index * longest + np.concatenate([x for _, x in seen])) if len(seen) > 1 else index * longest + seen[0][1]
+        enough = codes[np.bincount(pairs // longest, minlength=len(codes)) >= self.need[codes // _BAND]]
+        if not len(enough):
+            return
+        line, index = np.unique(np.concatenate([x for x, _ in lines]), return_inverse=True)
+        held = np.bincount(index, np.concatenate([n for _, n in lines]))
+        many = len(seen) > 1
+        for c in enough.tolist():
+            i, b = c // _BAND, c % _BAND - (_BAND >> 1)
+            k, step = int(self.k[i]), 2 * int(self.k[i]) + 1
+            zero = i * _BAND + (_BAND >> 1)
+            if many:  # diagonals were thinned out, so the whole band is met
+                yield i, [*range(b * step, (b + 2) * step - 1, max(1, k)), (b + 2) * step - 1]
+                continue
+            s, e = np.searchsorted(line, [zero + b * step, zero + (b + 2) * step]).tolist()
+            share = -(-int(self.need[i]) // (k + 1))
+            centres = (line[s:e][held[s:e] >= share] - zero).tolist()
+            if centres:
+                yield i, centres
+
+
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The items in lists that each fit a task, one at a time; their number grows with the benchmark."""
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n = -(-size // BLOCK_BYTES)
-    out = []
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        items = sorted({(r.item_id, x) for r in part.collect() if (x := normal(r.text).strip())}, key=lambda i: (i[0] is None, i[0] or 0, i[1]))
+        items = sorted({(r.item_id, x) for r in part.toLocalIterator() if (x := normal(r.text).strip())}, key=lambda i: (i[0] is None, i[0] or 0, i[1]))
         if items:
-            out.append(items)
-    return out
+            yield items
 
 
 def _match_rows(items: list[tuple[int | None, bytes]], share: float):
@@ -177,22 +272,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> D
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = texts.selectExpr("doc_id", "doc_id as item_id", "doc_id as match_start", "doc_id as match_end", "doc_id as distance").limit(0)
-    for items in blocks(benchmark):
-        out = out.union(texts.mapInArrow(_match_rows(items, share), "doc_id long, item_id long, match_start long, match_end long, distance long"))
+    schema = "doc_id long, item_id long, match_start long, match_end long, distance long"
+    out = texts.sparkSession.createDataFrame([], schema)
+    for n, items in enumerate(blocks(benchmark)):
+        found = texts.mapInArrow(_match_rows(items, share), schema)
+        out = found if n == 0 else (staged(out, "leaks") if n == 1 else out).union(staged(found, "leaks"))  # a block leaves the driver before the next one comes
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
     """``docs`` without the documents that hold an item."""
     small_batches(docs.sparkSession)
-    at = docs.columns.index("text")
-    for items in blocks(benchmark):
+    at, schema = docs.columns.index("text"), docs.schema
+    for n, items in enumerate(blocks(benchmark)):
 
         def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
             index = Index(items, share)
             for batch in batches:
                 yield batch.filter(pa.array([not index.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = (docs if n == 0 else staged(docs, "clean")).mapInArrow(run, schema)
     return docs

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, hot_keys, pair_components, release, small_batches, staged
 from .simhash import BLOCK, bit_counts, covering_masks, forest, grouped, numbered, one_each
+from .words import STEP, stretch, word_hashes
 
 SHINGLE_WORDS = 5
 #: Least Jaccard similarity of a link, as a fraction.
@@ -38,21 +39,33 @@ PARTS, PART_BITS, PART_RADIUS = 12, 40, 3
 CHECK_BITS = 18
 #: Texts that share a bucket and are met all by all; more than these go by leaders and by labels.
 LARGE = 16
+#: Bytes of texts that are hashed at once.
+GROUP_BYTES = 1 << 16
 #: Bucket rows that a task looks at together.
 CHUNK = 1 << 16
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The distinct shingles' numbers in ascending order."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined = b" ".join(words)
-    n = len(words) - SHINGLE_WORDS + 1
-    if n <= 1:
-        return np.array([xxhash.xxh64_intdigest(joined)], np.uint64).view(np.int64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hashed(joined[s:e]) for s, e in zip(starts, ends[SHINGLE_WORDS - 1 :].tolist(), strict=True)), np.uint64, n).view(np.int64))
+    """The distinct shingles' numbers in ascending order: hashes over the hashes of their words."""
+    return next(shingle_sets([text]))
+
+
+def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """``shingles`` of each text, hashed in groups of about ``GROUP_BYTES``."""
+    group: list[bytes] = []
+    for i, text in enumerate(texts):
+        group.append((text or "").encode("utf-8", "surrogatepass").lower())
+        if i + 1 < len(texts) and sum(map(len, group)) < GROUP_BYTES:
+            continue
+        [low], sizes = word_hashes(group)
+        runs, ends = stretch(low, SHINGLE_WORDS, STEP).view(np.int64), np.cumsum(sizes)
+        for s, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+            if e - s < SHINGLE_WORDS:
+                yield np.array([xxhash.xxh64_intdigest(low[s:e].tobytes())], np.uint64).view(np.int64)
+                continue
+            found = np.sort(runs[s : e - SHINGLE_WORDS + 1])
+            yield found[np.concatenate(([True], found[1:] != found[:-1]))]
+        group = []
 
 
 def node() -> Column:
@@ -77,7 +90,7 @@ def wide_print(found: np.ndarray) -> np.ndarray:
 
 def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([wide_print(shingles(t.as_py())) for t in batch.column(1)], np.int64).reshape(batch.num_rows, PARTS + 1)
+        prints = np.array([wide_print(found) for found in shingle_sets(batch.column(1).to_pylist())], np.int64).reshape(batch.num_rows, PARTS + 1)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * PARTS), pa.array(prints[:, :PARTS].ravel()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[:, PARTS].copy()), lists], ["fp", "check", "parts"])
 
@@ -85,8 +98,9 @@ def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _buckets(prints: DataFrame) -> DataFrame:
     """Rows (key, fp, check): a text's buckets, named by the number of the mask over the bits that it keeps."""
     masks = covering_masks(PART_RADIUS, PART_BITS)
-    keys = [F.col("parts")[p].bitwiseAND(F.lit(m)).bitwiseOR(F.lit((p * len(masks) + i) << PART_BITS)) for p in range(PARTS) for i, m in enumerate(masks)]
-    return prints.select("fp", "check", F.explode(F.array(*keys)).alias("key"))
+    kept = ", ".join(f"{m}L" for m in masks)
+    keys = f"flatten(transform(parts, (x, p) -> transform(array({kept}), (m, i) -> (x & m) | shiftleft(cast(p * {len(masks)} + i as bigint), {PART_BITS}))))"
+    return prints.select("fp", "check", F.explode(F.expr(keys)).alias("key"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:

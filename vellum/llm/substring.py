@@ -16,7 +16,7 @@ under one anchor, and eight windows on average cost one row.
 Every occurrence but the first (least doc_id, then start) is removed.  Counting combines
 before the shuffle and joins are split where a key is hot, so a passage in a third of all
 documents costs no task more than its share.  Windows are compared by two independent 64-bit
-hashes over 128-bit word hashes.
+hashes over two independent 64-bit word hashes.
 
 Defined cases: a null or blank text has no words; texts of under 20 words lose nothing; rows
 without doc_id lose nothing and are nobody's source; rows that share a doc_id stand at the same
@@ -26,53 +26,26 @@ space, unchanged; other columns are ignored; an empty table gives an empty resul
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, release, small_batches, staged
+from .words import OTHER_STEP, STEP, mixed, stretch, word_hashes
 
 WINDOW = 20
 ANCHOR = 6
-MEMO_WORDS = 250_000
 #: Texts are hashed in groups of about this many characters.
 GROUP_CHARS = 1 << 18
-_P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Words(dict):
-    """Word to its place in two growing tables of 64-bit hashes."""
-
-    def __init__(self):
-        super().__init__()
-        self.low, self.high = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        h, n = xxhash.xxh3_128_digest(word), len(self)
-        if n == len(self.low):
-            self.low, self.high = np.concatenate((self.low, self.low)), np.concatenate((self.high, self.high))
-        self.high[n], self.low[n] = int.from_bytes(h[:8], "big"), int.from_bytes(h[8:], "big")
-        self[word] = n
-        return n
-
-
-class Hasher:
-    def __init__(self):
-        self.words = _Words()
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Both hashes of the words of all texts, one after the other, and each text's number of words."""
-        if len(self.words) > MEMO_WORDS:
-            self.words = _Words()
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        return self.words.low[at], self.words.high[at], sizes
+def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of the words of all texts, one after the other, and each text's number of words."""
+    (low, high), sizes = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts], 2)
+    return low, high, sizes
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -89,23 +62,6 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
-
-
-def stretch(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
-    """Hash of every run of ``size`` values."""
-    n = len(h) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = h[:n] * base
-    for k in range(1, size):
-        out = (out + h[k : k + n]) * base
-    return _mixed(out)
-
-
 def segments(low: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the word hashes of some texts: each segment's anchor hash, first window, number of windows.
 
@@ -114,7 +70,7 @@ def segments(low: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(low) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a = stretch(low, ANCHOR, _P1)
+    a = stretch(low, ANCHOR, STEP)
     span = WINDOW - ANCHOR + 1
     least = a[:n].copy()
     for k in range(1, span):
@@ -133,23 +89,22 @@ def segments(low: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def windows(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return stretch(low, WINDOW, _P1), stretch(high, WINDOW, _P2)
+    return stretch(low, WINDOW, STEP), stretch(high, WINDOW, OTHER_STEP)
 
 
 def _keys(w: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Content hash of each segment: its first and last windows cover all its words."""
-    return _mixed(w[starts] * _P1 + w[starts + sizes - 1] * _P2 + sizes.astype(np.uint64))
+    return mixed(w[starts] * STEP + w[starts + sizes - 1] * OTHER_STEP + sizes.astype(np.uint64))
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher()
     for rows in groups(batches):
-        low, _, words = hasher.of([r[1] for r in rows])
+        low, _, words = hashed([r[1] for r in rows])
         a, starts, sizes = segments(low, words)
         if not len(a):
             continue
         row = np.searchsorted(np.cumsum(words), starts, side="right")
-        key = _keys(stretch(low, WINDOW, _P1), starts, sizes)
+        key = _keys(stretch(low, WINDOW, STEP), starts, sizes)
         order = np.lexsort((key, a, row))
         a, key, row = a[order], key[order], row[order]
         new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))
@@ -162,9 +117,8 @@ _FOUND = "anchor long, k1 long, k2 long, doc_id long, start int, size int, befor
 
 def _found_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the documents' repeated anchors: the segments, with their neighbours' keys; those of forked anchors with both hashes of each window."""
-    hasher = Hasher()
     for rows in groups(batches):
-        low, high, words = hasher.of([r[1] for r in rows])
+        low, high, words = hashed([r[1] for r in rows])
         a, starts, sizes = segments(low, words)
         if not len(a):
             continue
