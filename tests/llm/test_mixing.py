@@ -8,14 +8,16 @@ from vellum.llm import mixing
 from . import cases
 
 
-def rake(cells, goals, sweeps):
+def rake(cells, goals):
     """cells: {(source, lang, topic): share}; goals: a dict for each dimension."""
-    share = dict(cells)
-    for _ in range(sweeps):
+    share, off = dict(cells), 1.0
+    while off > mixing.TOLERANCE:
+        off = 0.0
         for d in range(3):
             total = defaultdict(float)
             for k, v in share.items():
                 total[k[d]] += v
+            off = max([off, *(abs(goals[d][c] / n - 1) for c, n in total.items())])
             share = {k: v * goals[d][k[d]] / total[k[d]] for k, v in share.items()}
     return share
 
@@ -41,7 +43,7 @@ def test_raking_meets_the_targets(spark):
             marginal[k[d]] += v
         norm = sum(v**mixing.TEMPER for v in marginal.values())
         goals.append({k: v**mixing.TEMPER / norm for k, v in marginal.items()})
-    want = rake(own, goals, mixing.SWEEPS)
+    want = rake(own, goals)
     assert {(r.source, r.lang, r.topic) for r in got} == set(want)
     for r in got:
         assert abs(r.share - want[r.source, r.lang, r.topic]) < 1e-9

@@ -21,12 +21,15 @@ their text; repeated rows are drawn alike; other columns stay; an empty table gi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
-SWEEPS = 8
+#: Sweeps at most, and the relative change of a factor under which they end.
+SWEEPS, TOLERANCE = 100, 1e-4
 KEEP = 0.9
 TEMPER = 0.7
 DIMENSIONS = ("source", "lang", "topic")
@@ -49,35 +52,53 @@ def cells(docs: DataFrame) -> DataFrame:
     return docs.groupBy(*DIMENSIONS).agg(F.sum(F.expr(TOKENS)).cast("double").alias("tokens"))
 
 
-def _target(dimension: str, given: dict[str, float] | None) -> Column:
-    """Target share of a row's category, times one of its cells' count: constant over the category."""
-    mine, name = F.col(f"own_{dimension}"), F.col(dimension)
-    if not given:
-        return F.pow(mine, F.lit(TEMPER))
-    named = F.coalesce(*[F.when(name == k, F.lit(float(v))) for k, v in given.items()])
-    left = max(0.0, 1.0 - sum(given.values()))
-    return F.coalesce(named, mine * F.lit(left))
+def _goals(own: DataFrame, dimension: str, given: dict[str, float] | None) -> DataFrame:
+    """Rows (dimension, goal, factor): each category's target share, and one as its first factor."""
+    mine = own.groupBy(dimension).agg(F.sum("own").alias("own"))
+    if given:
+        named = F.coalesce(*[F.when(F.col(dimension) == k, F.lit(float(v))) for k, v in given.items()])
+        goal = F.coalesce(named, F.col("own") * F.lit(max(0.0, 1.0 - sum(given.values()))))
+    else:
+        goal = F.pow("own", F.lit(TEMPER))
+    told = mine.select(dimension, goal.alias("goal"))
+    total = told.agg(F.sum("goal")).first()[0] or 1.0
+    return staged(told.select(dimension, (F.col("goal") / total).alias("goal"), F.lit(1.0).alias("factor")), f"mixing-{dimension}")
+
+
+def _with_factors(own: DataFrame, goals: dict[str, DataFrame], dimensions: list[str]) -> DataFrame:
+    """``own`` with the product of the dimensions' factors as ``share``."""
+    share = F.col("own")
+    for d in dimensions:
+        other = goals[d].select(F.col(d).alias(f"_{d}"), F.col("factor").alias(f"_f_{d}"))
+        own = own.join(other, F.col(d).eqNullSafe(F.col(f"_{d}")))
+        share = share * F.col(f"_f_{d}")
+    return own.withColumn("share", share)
 
 
 def raked(table: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """``table`` of ``cells`` with each cell's ratio of raked to own share.
 
-    All sweeps are windows over the cell table, in one plan.  Targets are normalised over the
-    categories present, so a named category without tokens gives its share to the others.
+    A cell's share is its own times one factor for each dimension; in turn each dimension's factors are set so that
+    its marginal is its target.  Marginals are sums that combine before the shuffle, joined back by category, so neither
+    the cells nor a category ever meet in one task.  Sweeps end when no marginal that a whole sweep left
+    behind is off its target by more than TOLERANCE of it, at the latest after SWEEPS; one number a sweep reaches the driver.
+    Targets are normalised over the categories present, so a named category without tokens gives its share to the others.
     """
-    everything = Window.partitionBy(F.lit(0))
-    now = table.where("tokens > 0").withColumn("own", F.col("tokens") / F.sum("tokens").over(everything))
-    for d in DIMENSIONS:
-        category = Window.partitionBy(d)
-        now = now.withColumn(f"own_{d}", F.sum("own").over(category)).withColumn(f"size_{d}", F.count("*").over(category))
-    for d in DIMENSIONS:
-        goal = _target(d, (targets or {}).get(d))
-        now = now.withColumn(f"goal_{d}", goal).withColumn(f"goal_{d}", F.col(f"goal_{d}") / F.sum(F.col(f"goal_{d}") / F.col(f"size_{d}")).over(everything))
-    now = now.withColumn("share", F.col("own"))
+    cell = staged(table.where("tokens > 0"), "mixing-cells")
+    total = cell.agg(F.sum("tokens")).first()[0] or 1.0
+    own = cell.withColumn("own", F.col("tokens") / F.lit(total))
+    goals = {d: _goals(own, d, (targets or {}).get(d)) for d in DIMENSIONS}
     for _ in range(SWEEPS):
         for d in DIMENSIONS:
-            now = now.withColumn("share", F.col("share") * F.col(f"goal_{d}") / F.sum("share").over(Window.partitionBy(d)))
-    return now.select(*DIMENSIONS, "tokens", "own", "share", (F.col("share") / F.col("own")).alias("ratio"))
+            others = _with_factors(own, goals, [x for x in DIMENSIONS if x != d]).groupBy(F.col(d).alias("_c")).agg(F.sum("share").alias("_now"))
+            told = goals[d].join(others, F.col(d).eqNullSafe(F.col("_c")))
+            new = staged(told.select(d, "goal", F.expr("coalesce(try_divide(goal, _now), 0D) as factor"), F.expr("try_divide(goal, _now * factor) - 1 as off")), f"mixing-{d}")
+            discard(goals[d])
+            goals[d] = new
+        moved = functools.reduce(DataFrame.union, (g.select("off") for g in goals.values()))
+        if (moved.agg(F.max(F.abs("off"))).first()[0] or 0.0) <= TOLERANCE:
+            break
+    return _with_factors(own, goals, list(DIMENSIONS)).select(*DIMENSIONS, "tokens", "own", "share", (F.col("share") / F.col("own")).alias("ratio"))
 
 
 def draw() -> Column:
@@ -113,23 +134,24 @@ def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None)
 
 def sql(documents: str = "documents") -> str:
     """The same as ``weighed`` with the default targets, as DuckDB SQL over a table of documents."""
+    kept = f"source, lang, topic, own, {', '.join(f'goal_{d}' for d in DIMENSIONS)}"
+    turn = [f"case step % 3 when 0 then {a} when 1 then {b} else {c} end" for a, b, c in (tuple(DIMENSIONS), tuple(f"goal_{d}" for d in DIMENSIONS))]
     steps = [
         f"named as (select *, {TOPIC} as topic from {documents})",
         f"cells as (select source, lang, topic, cast(sum({TOKENS}) as double) as tokens from named group by all)",
         "s0 as (select *, tokens / sum(tokens) over () as own from cells where tokens > 0)",
         "s1 as (select *, " + ", ".join(f"sum(own) over (partition by {d}) as own_{d}, count(*) over (partition by {d}) as size_{d}" for d in DIMENSIONS) + " from s0)",
-        "s2 as (select *, " + ", ".join(f"power(own_{d}, {TEMPER}) / sum(power(own_{d}, {TEMPER}) / size_{d}) over () as goal_{d}" for d in DIMENSIONS) + ", own as share_0 from s1)",
+        "s2 as (select *, " + ", ".join(f"power(own_{d}, {TEMPER}) / sum(power(own_{d}, {TEMPER}) / size_{d}) over () as goal_{d}" for d in DIMENSIONS) + " from s1)",
+        f"r as (select 0 as step, {kept}, own as share, 0.0::double as off from s2 union all"
+        f" select step + 1, {kept}, share * told, greatest(if(step % 3 = 0, 0, off), max(abs(told - 1)) over ()) from (select *, ({turn[1]}) / sum(share) over (partition by {turn[0]}) as told from r)"
+        f" where step < {3 * SWEEPS} and (step = 0 or step % 3 > 0 or off > {TOLERANCE}))",
+        "last as (select * from r where step = (select max(step) from r))",
     ]
-    n = 0
-    for _ in range(SWEEPS):
-        for d in DIMENSIONS:
-            steps.append(f"r{n + 1} as (select *, share_{n} * goal_{d} / sum(share_{n}) over (partition by {d}) as share_{n + 1} from {'s2' if n == 0 else f'r{n}'})")
-            n += 1
     steps.append(
-        f"w as (select n.*, coalesce(r.share_{n} / r.own, 1 / {KEEP}) as mix_ratio from named n left join r{n} r"
+        f"w as (select n.*, coalesce(r.share / r.own, 1 / {KEEP}) as mix_ratio from named n left join last r"
         " on n.source is not distinct from r.source and n.lang is not distinct from r.lang and n.topic is not distinct from r.topic)"
     )
     steps.append(
         f"m as (select *, least(1.0, mix_ratio * {KEEP}) as mix_p, cast(('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), 'text:' || coalesce(text, ''))), 1, 12)) as bigint) / {float(16**12)} as mix_u from w)"
     )
-    return "with " + ",\n".join(steps)
+    return "with recursive " + ",\n".join(steps)
