@@ -57,3 +57,26 @@ def test_branching_passages(spark):
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     check(spark, [tuple(r) for r in docs.collect()])
+
+
+def test_rows_that_share_a_doc_id(spark):
+    rng = random.Random(12)
+    prose = lambda n: [f"u{rng.random()}" for _ in range(n)]
+    p, a, b = prose(40), prose(25), prose(60)
+    rows = [(1, " ".join(p)), (5, " ".join(p + a)), (5, " ".join(b))]
+    assert [n for d, _, n, _ in brute(rows) if d == 5] == [0, 40] or [n for d, _, n, _ in brute(rows) if d == 5] == [40, 0]
+    passages = [prose(rng.randint(20, 50)) for _ in range(5)]
+    for _ in range(40):
+        rows.append((rng.randint(1, 9), " ".join(prose(rng.randint(0, 12)) + rng.choice(passages) + prose(rng.randint(0, 5)) + rng.choice(passages)[: rng.randint(5, 40)])))
+    check(spark, rows)
+
+
+def test_a_repeat_is_removed_only_where_the_words_are_its_source_words():
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(30)]
+    good = substring._digest([w.encode() for w in words], 2, 3)
+    spans = [[{"start": 2, "size": 3, "digests": [good]}], [{"start": 2, "size": 3, "digests": [good + 1]}]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(words)] * 2), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("digests", pa.list_(pa.int64()))])))], ["doc_id", "text", "spans"])
+    [out] = substring._apply([batch])
+    assert out.column("n_removed").to_pylist() == [22, 0]
