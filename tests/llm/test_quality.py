@@ -54,3 +54,23 @@ def test_verdicts_follow_the_quality_labels(spark):
     right = found.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in right}
     assert kept[1] > 0.98 and kept[0] < 0.1
+
+
+def test_the_estimation_decides(spark):
+    """Not all-must-pass: some that are kept carry a bad vote, some that go carry a good one and pass the base rules."""
+    found = quality.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where(~quality.base_failed())
+    votes = [f"vote_{k}" for k in quality.rules()]
+    rows = found.select("good", F.least(*votes).alias("worst"), F.greatest(*votes).alias("best")).collect()
+    assert any(r.good and r.worst < 0 for r in rows) and any(not r.good and r.best > 0 for r in rows)
+
+
+def test_a_rule_below_even_is_not_heard():
+    assert quality.told({1: (0.2, 0.6), -1: (0.5, 0.1)}, 1) == 0 == quality.told({1: (0.2, 0.6), -1: (0.5, 0.1)}, -1)
+    assert quality.told({1: (0.6, 0.2), -1: (0.1, 0.5)}, 1) > 0 > quality.told({1: (0.6, 0.2), -1: (0.1, 0.5)}, -1)
+
+
+def test_windows_of_a_very_long_text(spark):
+    """A text of 300,000 words with one repeated window."""
+    text = " ".join([f"w{i}" for i in range(300_000)] + ["w7", "w8", "w9"])
+    [row] = quality.signals(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (row.n_words, row.n_repeat_words) == (300_003, 6)

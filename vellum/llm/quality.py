@@ -32,25 +32,20 @@ def signals(docs: DataFrame) -> DataFrame:
     """Counts of every whole text.
 
     A word belongs to a repeated window if one of the three-word windows over it is found
-    twice in the text.  A window is one long: its hash above, its position in the low bits, as
-    many as the text needs; sorting the longs puts equal windows side by side.
+    twice in the text.  Sorting the windows' hashes with their places puts equal windows side by side; neighbours
+    with one hash are compared by their words.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     words = text.select("doc_id", "t", F.expr(words_column("t")).alias("w"))
-    sized = words.select(
-        "doc_id",
-        "t",
-        F.size("w").cast("long").alias("n_words"),
-        F.expr("transform(w, x -> xxhash64(x))").alias("h"),
-        F.expr("cast(ceil(log2(size(w) + 2)) as int)").alias("low"),
-    )
+    sized = words.select("doc_id", "t", "w", F.size("w").cast("long").alias("n_words"), F.expr("transform(w, x -> xxhash64(x))").alias("h"))
     packed = sized.select(
-        "doc_id", "t", "n_words", "low",
-        F.expr("sort_array(transform(slice(h, 1, greatest(size(h) - 2, 0)), (x, i) -> shiftleft(xxhash64(x, h[i + 1], h[i + 2]), low) | cast(i as bigint)))").alias("s"),
+        "doc_id", "t", "w", "n_words",
+        F.expr("sort_array(transform(slice(h, 1, greatest(size(h) - 2, 0)), (x, i) -> struct(xxhash64(x, h[i + 1], h[i + 2]) as h, i as i)))").alias("s"),
     )
+    same = "(s[{0}].h = x.h and w[s[{0}].i] = w[x.i] and w[s[{0}].i + 1] = w[x.i + 1] and w[s[{0}].i + 2] = w[x.i + 2])"
     twice = packed.select(
         "doc_id", "t", "n_words",
-        F.expr("sort_array(transform(filter(s, (x, i) -> (i > 0 and shiftright(x ^ s[i - 1], low) = 0) or (i + 1 < size(s) and shiftright(x ^ s[i + 1], low) = 0)), x -> x & (shiftleft(1L, low) - 1)))").alias("at"),
+        F.expr(f"sort_array(transform(filter(s, (x, i) -> (i > 0 and {same.format('i - 1')}) or (i + 1 < size(s) and {same.format('i + 1')})), x -> cast(x.i as bigint)))").alias("at"),
     )
     lines = "filter(split(t, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
     return twice.select(
@@ -66,26 +61,27 @@ def signals(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Each rule's conditions for a bad and for a good vote over the columns of ``signals``; SQL of both engines.
+RULES = {
+    "symbols": ("n_symbols * 50 > word_chars", "n_symbols * 500 <= word_chars"),
+    "letters": ("n_letters * 100 < word_chars * 85", "n_letters * 100 >= word_chars * 95"),
+    "word_length": ("word_chars < n_words * 4 or word_chars > n_words * 7", "word_chars * 10 >= n_words * 46 and word_chars * 10 <= n_words * 56"),
+    "length": ("n_words < 60", "n_words >= 100"),
+    "capitals": ("n_upper * 10 > word_chars", "false"),
+    "repeats": ("n_repeat_words * 5 > n_words", "false"),
+    "lines": ("n_dup_lines * 40 > n_words", "false"),
+    "shouting": ("n_shouts * 50 > n_words", "false"),
+}
+
+
 def rules() -> dict[str, Column]:
     """Each rule's vote over the columns of ``signals``.
 
-    The absence of one defect says little, so a rule for a defect votes bad or abstains;
-    only the rule that asks for ordinary prose in every respect votes good.
+    Each looks at evidence of its own, none at the others' votes.  What ordinary prose has in measure (letters, the length of words
+    and texts, few symbols) is voted on both ways with a gap between where the rule abstains; that a
+    text does not shout or repeat itself says little, so these rules vote bad or abstain.
     """
-    n, chars = F.col("n_words"), F.col("word_chars")
-    symbols, upper, letters, shouts = (F.col(c) for c in ("n_symbols", "n_upper", "n_letters", "n_shouts"))
-    bad = {
-        "symbols": symbols * 25 > chars,
-        "capitals": upper * 2 > chars,
-        "repeats": F.col("n_repeat_words") * 100 > n * 40,
-        "lines": (F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") * 15 > n),
-        "word_length": (chars < n * 2) | (chars > n * 14),
-        "length": n < MIN_WORDS,
-        "letters": letters * 100 < chars * 65,
-        "shouting": shouts * 2 > n,
-    }
-    prose = (symbols * 100 <= chars) & (upper * 5 < chars) & (F.col("n_repeat_words") * 100 < n * 30) & (letters * 100 >= chars * 80) & (shouts * 10 < n)
-    return {k: F.when(v, -1).otherwise(0) for k, v in bad.items()} | {"prose": F.when(prose, 1).otherwise(0)}
+    return {k: F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end") for k, (bad, good) in RULES.items()}
 
 
 def base_failed() -> Column:
@@ -119,8 +115,20 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, Rates]
     return share, rates
 
 
+def told(rate: dict[int, tuple[float, float]], vote: int) -> float:
+    """Log odds that a vote adds.
+
+    Abstaining adds nothing, and a rule that comes out less than even, so that its votes would count the other way
+    round, is not heard on that side.
+    """
+    if vote == 0:
+        return 0.0
+    odds = math.log(rate[vote][0] / rate[vote][1])
+    return max(0.0, odds) if vote > 0 else min(0.0, odds)
+
+
 def log_odds(votes: tuple[int, ...], share: float, rates: Rates) -> float:
-    return math.log(share / (1 - share)) + sum(math.log(r[v][0] / r[v][1]) for v, r in zip(votes, rates, strict=True))
+    return math.log(share / (1 - share)) + sum(told(r, v) for v, r in zip(votes, rates, strict=True))
 
 
 def accuracies(share: float, rates: Rates) -> dict[str, float]:
@@ -136,9 +144,8 @@ def posterior(share: float, rates: Rates) -> Column:
     """Probability of being good, as a column over the rules' vote columns."""
     odds: Column = F.lit(math.log(share / (1 - share)))
     for name, rate in zip(rules(), rates, strict=True):
-        told = {v: math.log(a / b) for v, (a, b) in rate.items()}
         vote = F.col(f"vote_{name}")
-        odds = odds + F.when(vote > 0, told[1]).when(vote < 0, told[-1]).otherwise(told[0])
+        odds = odds + F.when(vote > 0, told(rate, 1)).when(vote < 0, told(rate, -1)).otherwise(0.0)
     return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), odds))))
 
 

@@ -88,14 +88,8 @@ QUERIES: dict[str, Query] = {
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
 
-#: The rules of ``quality`` as SQL conditions over its counts.
-_BAD = {
-    "symbols": "n_symbols * 25 > word_chars", "capitals": "n_upper * 2 > word_chars", "repeats": "n_repeat_words * 100 > n_words * 40",
-    "lines": "n_dup_lines >= 3 and n_dup_lines * 15 > n_words", "word_length": "word_chars < n_words * 2 or word_chars > n_words * 14",
-    "length": "n_words < 50", "letters": "n_letters * 100 < word_chars * 65", "shouting": "n_shouts * 2 > n_words",
-}
-_PROSE = "n_symbols * 100 <= word_chars and n_upper * 5 < word_chars and n_repeat_words * 100 < n_words * 30 and n_letters * 100 >= word_chars * 80 and n_shouts * 10 < n_words"
-_VOTES = ", ".join(f"case when {v} then -1 else 0 end" for v in _BAD.values()) + f", case when {_PROSE} then 1 else 0 end"
+#: The votes of ``quality`` as SQL.
+_VOTES = ", ".join(f"case when {bad} then -1 when {good} then 1 else 0 end" for bad, good in quality.RULES.values())
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": rf"""with recursive t as (select doc_id, coalesce(text, '') as t from documents),
@@ -111,9 +105,9 @@ patterns as materialized (select votes, count(*) as n from voted group by votes)
 cast_votes as materialized (select votes, n, unnest(range(1, len(votes) + 1)) as rule, unnest(votes) as vote from patterns),
 em(round, votes, good) as (
  select 0, votes, case when list_sum(votes) > 0 then 1.0::double when list_sum(votes) < 0 then 0.0 else 0.5 end from patterns union all
- select round + 1, votes, 1 / (1 + exp(-greatest(-500, least(500, any_value(prior) + sum(told))))) from (
-  select round, votes, ln((total_good + 1) / (total_bad + 1)) as prior, ln((a + 0.5) / (total_good + 1.5)) - ln((b + 0.5) / (total_bad + 1.5)) as told from (
-   select round, c.votes, sum(good * n) over (partition by rule, vote) as a, sum((1 - good) * n) over (partition by rule, vote) as b, sum(good * n) over (partition by rule) as total_good, sum((1 - good) * n) over (partition by rule) as total_bad
+ select round + 1, votes, 1 / (1 + exp(-greatest(-500, least(500, any_value(prior) + sum(case when vote > 0 then greatest(told, 0) when vote < 0 then least(told, 0) else 0 end))))) from (
+  select round, votes, vote, ln((total_good + 1) / (total_bad + 1)) as prior, ln((a + 0.5) / (total_good + 1.5)) - ln((b + 0.5) / (total_bad + 1.5)) as told from (
+   select round, c.votes, vote, sum(good * n) over (partition by rule, vote) as a, sum((1 - good) * n) over (partition by rule, vote) as b, sum(good * n) over (partition by rule) as total_good, sum((1 - good) * n) over (partition by rule) as total_bad
    from em e join cast_votes c on e.votes = c.votes where round < {quality.EM_ROUNDS})) group by round, votes)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and good >= 0.5 as kept, round(good, 9) as p_good from voted v join em e on v.votes = e.votes and e.round = {quality.EM_ROUNDS}""",
