@@ -5,13 +5,14 @@ date, a phone number after +1 or a possible one without, a possible security num
 values of the same format; e-mail names and access keys, of their letters and digits.  The permutation is a
 Feistel network whose two halves live in Z_a and Z_b, with a times b the exact number of
 values of the format, so every pseudonym is valid again, equal values get equal pseudonyms
-in all documents, and who has the key can invert it.
+in all documents, and who has the key can invert it.  Month-first dates walk the permutation of all dates until one
+has a day over 12, so they are permuted among themselves.  The key's digest enters as the value of a subquery: plans and event logs do not show it.
 
 A text is split at its candidates and put together again; texts without a digit or ``@`` pass
 through.  There is no shuffle.
 
 Defined cases: a null text stays null with nothing found; candidates that fail their check stay as they are;
-dates outside 1900 to 2099 stay; a day and month that could be either way are read day first;
+dates outside 1900 to 2099 stay; a date that can be read day first is, and stays so; one that only can be read month first becomes another such;
 overlapping candidates go to the leftmost, then in the order of ``KINDS``; repeated rows get
 equal results; a null doc_id is returned as it is; other columns stay; empty tables give none.
 """
@@ -35,8 +36,10 @@ KINDS = {
     "phone": r"\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-#: Days from 1900-01-01 to 2099-12-31 are 319 times 229.
-FIRST_DAY, DAYS = "date'1900-01-01'", (319, 229)
+#: Days from 1900-01-01 to 2099-12-31 are 17 times 4297.
+FIRST_DAY, DAYS = "date'1900-01-01'", (17, 4297)
+#: Steps at most until a permuted month-first date has a day over 12; each ends the walk with more than even odds.
+WALK = 100
 #: Characters that one network takes; a longer name is permuted piece by piece.
 PIECE = 22
 
@@ -55,17 +58,17 @@ def _fold(items: str, start: str, step: str) -> str:
 
 
 class _Network:
-    """SQL of the keyed permutations, forwards or back."""
+    """SQL of the keyed permutations, forwards or back, over a column ``_key``."""
 
-    def __init__(self, key: str, back: bool):
-        self.key, self.back = hashlib.sha256(key.encode()).hexdigest(), back
+    def __init__(self, back: bool):
+        self.back = back
 
     def pair(self, x: str, a: str, y: str, b: str, tweak: str) -> str:
         """Permutes (x, y) of Z_a times Z_b: a struct of both."""
         rounds = f"sequence({ROUNDS - 1}, 0, -1)" if self.back else f"sequence(0, {ROUNDS - 1})"
 
         def told(of: str, m: str) -> str:
-            return f"(cast(conv(substring(sha2(concat('{self.key}|', {tweak}, '|', r, '|', {of}), 256), 1, 15), 16, 10) as bigint) % {m})"
+            return f"(cast(conv(substring(sha2(concat(_key, '|', {tweak}, '|', r, '|', {of}), 256), 1, 15), 16, 10) as bigint) % {m})"
 
         def moved(of: str, by: str, m: str) -> str:
             return f"(({of} + {m} - {by}) % {m})" if self.back else f"(({of} + {by}) % {m})"
@@ -119,11 +122,25 @@ def _refill(template: str, chars: str, spot: str) -> str:
     return _let("f", chars, f"aggregate(split({template}, ''), named_struct('i', 1, 'o', ''), {step}).o")
 
 
-def _date(net: _Network, parsed: str, pattern: str) -> str:
-    day = f"datediff(d, {FIRST_DAY})"
+def _permuted_day(net: _Network, day: str, tweak: str) -> str:
     a, b = DAYS
-    moved = _let("z", net.pair(f"{day} div {b}", f"{a}L", f"{day} % {b}", f"{b}L", "'date'"), f"date_format(date_add({FIRST_DAY}, cast(z.x * {b} + z.y as int)), {pattern})")
-    return _let("d", parsed, f"if(d is null or {day} < 0 or {day} >= {a * b}, m, {moved})")
+    return _let("z", net.pair(f"({day}) div {b}", f"{a}L", f"({day}) % {b}", f"{b}L", tweak), f"z.x * {b} + z.y")
+
+
+def _date(net: _Network, parsed: str, pattern: str, otherwise: str = "m") -> str:
+    day = f"datediff(d, {FIRST_DAY})"
+    moved = f"date_format(date_add({FIRST_DAY}, cast({_permuted_day(net, day, _lit('date'))} as int)), {pattern})"
+    return _let("d", parsed, f"if(d is null, {otherwise}, if({day} < 0 or {day} >= {DAYS[0] * DAYS[1]}, m, {moved}))")
+
+
+def _month_first(net: _Network, parsed: str, pattern: str) -> str:
+    """A date that can only be read month first, as another one."""
+    day = f"datediff(d, {FIRST_DAY})"
+    date = f"date_add({FIRST_DAY}, cast(u as int))"
+    step = f"(w, k) -> if(w.done, w, {_let('u', _permuted_day(net, 'w.v', _lit('month first')), f'struct(u as v, day({date}) > 12 as done)')})"
+    walked = f"aggregate(sequence(1, {WALK}), struct(cast({day} as bigint) as v, false as done), {step}).v"
+    moved = _let("u", walked, f"date_format({date}, {pattern})")
+    return _let("d", parsed, f"if(d is null or {day} < 0 or {day} >= {DAYS[0] * DAYS[1]}, m, {moved})")
 
 
 def _replacement(net: _Network) -> str:
@@ -135,7 +152,9 @@ def _replacement(net: _Network) -> str:
     ip = f"if(exists(split(m, '[.]'), x -> cast(x as int) > 255), m, {_let('z', net.pair(f'{o[0]} * 256 + {o[1]}', '65536L', f'{o[2]} * 256 + {o[3]}', '65536L', _lit('ip')), _octets())})"
     iso = _date(net, "cast(try_to_timestamp(m, 'yyyy-MM-dd') as date)", "'yyyy-MM-dd'")
     slashed = "replace(m, '.', '/')"
-    dmy = _refill("m", f"regexp_replace({_date(net, f'coalesce(cast(try_to_timestamp({slashed}, {_lit("dd/MM/yyyy")}) as date), cast(try_to_timestamp({slashed}, {_lit("MM/dd/yyyy")}) as date))', _lit('dd/MM/yyyy'))}, '[^0-9]', '')", "[0-9]")
+    read = {p: f"cast(try_to_timestamp({slashed}, {_lit(p)}) as date)" for p in ("dd/MM/yyyy", "MM/dd/yyyy")}
+    other = _month_first(net, read["MM/dd/yyyy"], _lit("MM/dd/yyyy"))
+    dmy = _refill("m", f"regexp_replace({_date(net, read['dd/MM/yyyy'], _lit('dd/MM/yyyy'), other)}, '[^0-9]', '')", "[0-9]")
     area, group, serial = "cast(substring(m, 1, 3) as bigint)", "cast(substring(m, 5, 2) as bigint)", "cast(substring(m, 8, 4) as bigint)"
     rank = f"if({area} > 666, {area} - 2, {area} - 1)"
     back = "z.x div 99 + if(z.x div 99 >= 665, 2, 1)"
@@ -167,11 +186,12 @@ def pseudonymised(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     ``back`` inverts with the same key.
     """
     pattern = "|".join(KINDS.values())
+    digest = docs.sparkSession.createDataFrame([(hashlib.sha256(key.encode()).hexdigest(),)], "_key string").scalar()
     rows = docs.drop("n_found")
     rest = [c for c in rows.columns if c != "text"]
-    rows = rows.withColumn("_has", F.expr("coalesce(text rlike '[0-9@]', false)"))
-    rows = rows.select(*rest, "text", F.expr(f"if(_has, regexp_extract_all(text, {_quoted(pattern)}, 0), cast(array() as array<string>))").alias("_m"))
-    rows = rows.select(*rest, "text", "_m", F.expr(f"transform(_m, m -> {_replacement(_Network(key, back))})").alias("_p"))
+    rows = rows.withColumn("_has", F.expr("coalesce(text rlike '[0-9@]|AKIA', false)"))
+    rows = rows.select(*rest, "text", digest.alias("_key"), F.expr(f"if(_has, regexp_extract_all(text, {_quoted(pattern)}, 0), cast(array() as array<string>))").alias("_m"))
+    rows = rows.select(*rest, "text", "_m", F.expr(f"transform(_m, m -> {_replacement(_Network(back))})").alias("_p"))
     gaps = f"split(text, {_quoted(pattern)}, -1)"
     joined = f"if(size(_m) = 0, text, array_join(zip_with({gaps}, _p, (g, p) -> concat(g, coalesce(p, ''))), ''))"
     done = rows.select(*rest, F.expr(joined).alias("text"), F.expr("cast(size(filter(zip_with(_m, _p, (a, b) -> a <> b), x -> x)) as bigint)").alias("n_found"))
