@@ -75,12 +75,3 @@ def test_pipeline_drops_edited_copies(spark):
     edited = [i for (i, _), g in zip(rows, groups(rows), strict=True) if (prints[i] ^ prints[g]).bit_count() > 4]
     assert edited
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == sorted(want)
-
-
-def test_every_stage_with_this_rule(spark, monkeypatch):
-    """The pipeline's whole comparison, with groups by Jaccard similarity in place of fingerprints within 4 bits."""
-    from . import test_pipeline
-
-    monkeypatch.setattr(test_pipeline, "plain_print", lambda text: text)
-    monkeypatch.setattr(test_pipeline, "components", lambda rows: dict(zip((t for _, t in rows), groups(rows), strict=True)))
-    test_pipeline.test_every_stage(spark)

@@ -11,7 +11,7 @@ import corpus_pipeline
 from vellum.llm import decontam, langid, mixing, tokenfile
 
 from .test_decontam import edits
-from .test_simhash import components, plain_print
+from .test_neardup import groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,9 +23,7 @@ def test_every_stage(spark):
     model = langid.train(docs)
     rows = [r for r in rows if r[1] and langid.has_letter(r[1]) and not langid.decode(model, langid.features(r[1]) @ model.weights + model.bias)[2]]
     assert len(rows) > 0.97 * docs.count()
-    prints = [(r[0], plain_print(r[1])) for r in rows]
-    least = components(prints)
-    rows = [r for r, (i, f) in zip(rows, prints, strict=True) if least[f] == i]
+    rows = [r for r, least in zip(rows, groups([r[:2] for r in rows]), strict=True) if least == r[0]]
     items = [decontam.normal(r.text).strip() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
 
     def held(text):

@@ -4,7 +4,7 @@ The operator of ``simhash`` with wide fingerprints, for edited copies: a text's
 fingerprints of ``PART_BITS`` bits each, and covering masks of radius ``PART_RADIUS`` over each part make the buckets.
 Two texts that differ in at most PARTS * (PART_RADIUS + 1) - 1 bits over all parts differ in at most
 PART_RADIUS in some part, and so always meet.  At a Jaccard similarity of just 0.8 an eighth to a sixth of the bits differ, which is
-beyond that; such pairs meet in one of the 180 buckets by chance, with the probability that the
+beyond that; such pairs meet in one of the 150 buckets by chance, with the probability that the
 README gives.  A radius that covered them for sure would take over ten thousand masks.
 
 Members of a bucket that differ in at most ``CHECK_BITS`` bits of a separate 64-bit print are candidates, and
@@ -28,19 +28,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hot_keys, pair_components, release, small_batches, staged
+from .common import discard, pair_components, release, small_batches, staged
 from .simhash import BLOCK, bit_counts, covering_masks, forest, grouped, numbered, one_each
-from .words import STEP, stretch, word_hashes
+from .words import STEP, mixed, stretch, word_hashes
 
 SHINGLE_WORDS = 5
 #: Least Jaccard similarity of a link, as a fraction.
 SIMILAR = (4, 5)
-PARTS, PART_BITS, PART_RADIUS = 12, 40, 3
+PARTS, PART_BITS, PART_RADIUS = 10, 40, 3
 CHECK_BITS = 18
 #: Texts that share a bucket and are met all by all; more than these go by leaders and by labels.
 LARGE = 16
 #: Bytes of texts that are hashed at once.
 GROUP_BYTES = 1 << 16
+#: Bits of the number of bins that buckets are counted in, at most so many numbers reach the driver.
+BIN_BITS = 16
+_KEYED = "key long, fp long, check long"
 #: Bucket rows that a task looks at together.
 CHUNK = 1 << 16
 
@@ -95,16 +98,59 @@ def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[:, PARTS].copy()), lists], ["fp", "check", "parts"])
 
 
-def _buckets(prints: DataFrame) -> DataFrame:
-    """Rows (key, fp, check): a text's buckets, named by the number of the mask over the bits that it keeps."""
-    masks = covering_masks(PART_RADIUS, PART_BITS)
-    kept = ", ".join(f"{m}L" for m in masks)
-    keys = f"flatten(transform(parts, (x, p) -> transform(array({kept}), (m, i) -> (x & m) | shiftleft(cast(p * {len(masks)} + i as bigint), {PART_BITS}))))"
-    return prints.select("fp", "check", F.explode(F.expr(keys)).alias("key"))
+_MASKS = np.array(covering_masks(PART_RADIUS, PART_BITS), np.int64)
+
+
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    """Of each text (a row) its buckets' keys: the bits that a mask keeps of a part, and above them the number of part and mask."""
+    parts = batch.column(batch.schema.get_field_index("parts")).values.to_numpy().reshape(batch.num_rows, PARTS, 1)
+    return ((parts & _MASKS) | (np.arange(PARTS * len(_MASKS)).reshape(PARTS, -1) << PART_BITS)).reshape(batch.num_rows, -1)
+
+
+def _bins(keys: np.ndarray) -> np.ndarray:
+    return (mixed(keys.view(np.uint64)) >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
+def _count_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(1 << BIN_BITS, np.int64)
+    for batch in batches:
+        n += np.bincount(_bins(_keys(batch)).ravel(), minlength=len(n))
+    found = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], ["bin", "n"])
+
+
+def _bucket_keys(full: np.ndarray | None):
+    """Rows (key, fp, check), all of them or those of the bins ``full``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _keys(batch)
+            fp, check = (np.repeat(batch.column(c).to_numpy(), keys.shape[1]) for c in ("fp", "check"))
+            rows = keys.ravel(), fp, check
+            if full is not None:
+                held = full[_bins(rows[0])]
+                rows = tuple(c[held] for c in rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["key", "fp", "check"])
+
+    return run
+
+
+def hot_buckets(prints: DataFrame) -> DataFrame | None:
+    """Rows (key, n, lead) of the buckets of over ``BLOCK`` texts, if there are any.
+
+    Keys are first counted in a fixed number of bins, within the tasks; only keys of bins over the limit are counted singly.
+    """
+    bins = prints.mapInArrow(_count_bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).select("bin").collect()
+    if not bins:
+        return None
+    full = np.zeros(1 << BIN_BITS, bool)
+    full[[r.bin for r in bins]] = True
+    some = prints.mapInArrow(_bucket_keys(full), _KEYED).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("fp", "check")).alias("lead"))
+    return staged(some.where(F.col("n") > BLOCK), "near-hot")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Sorted rows (key, salt, fp, check) in arrays that end where a bucket does or is over BLOCK."""
+    """Rows (key, fp, check) sorted by key in arrays that end where a bucket does or is over BLOCK."""
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
 
@@ -112,12 +158,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
         return tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
     for batch in batches:
-        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
+        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
         n += batch.num_rows
         if n >= CHUNK:
             rows = joined()
-            same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
-            cut = int(np.argmax(same)) if n - int(np.argmax(same)) < BLOCK else n
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            cut = cut if n - cut < BLOCK else n
             yield tuple(c[:cut] for c in rows)
             held, n = [tuple(c[cut:] for c in rows)], n - cut
     if held:
@@ -129,10 +175,10 @@ _FOUND = "member boolean, a long, b long, key long"
 
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates (a, b), a below b, and the members (a, with print b) of large buckets."""
-    for key, salt, fp, check in _runs(batches):
+    for key, fp, check in _runs(batches):
         if len(key) < 2:
             continue
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
+        new = np.concatenate(([True], key[1:] != key[:-1]))
         bucket, starts = np.cumsum(new) - 1, np.flatnonzero(new)
         sizes = np.diff(np.concatenate((starts, [len(key)])))
         small, print64 = sizes[bucket] <= LARGE, check.view(np.uint64)
@@ -206,43 +252,42 @@ def _members_apart(members: DataFrame, parts: DataFrame) -> DataFrame:
     return met.selectExpr("l.fp as a", "r.fp as b").distinct()
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Rows (a, b) over nodes: enough links to connect all candidates that are similar."""
+def components(docs: DataFrame) -> DataFrame:
+    """Rows (node, label): the components of the nodes that links connect; nodes without links are left out."""
     spark = docs.sparkSession
     small_batches(spark)
     prints = staged(docs.select(node().alias("fp"), "text").mapInArrow(_print_rows, "fp long, check long, parts array<long>"), "near-prints")
-    rows = _buckets(prints.dropDuplicates(["fp"]))
-    hot = hot_keys(rows, ["key"], BLOCK, F.min(F.struct("fp", "check")).alias("lead"))
-    many = not hot.isEmpty()
-    salt = F.lit(0)
-    if many:  # their rows are dealt over tasks
+    prints = staged(prints.dropDuplicates(["fp"]), "near-texts")
+    hot = hot_buckets(prints)
+    rows = prints.mapInArrow(_bucket_keys(None), _KEYED)
+    if hot is None:
+        dealt = rows.repartition("key")
+    else:  # the rows of hot buckets are dealt over tasks
         rows = rows.join(hot, "key", "left")
-        salt = F.coalesce(F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)).cast("int"), salt)
-    dealt = rows.select("key", salt.alias("salt"), "fp", "check").repartition("key", "salt").sortWithinPartitions("key", "salt", "fp")
-    found = staged(dealt.mapInArrow(_bucket_rows, _FOUND), "near-buckets")
+        salt = F.coalesce(F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)).cast("int"), F.lit(0))
+        dealt = rows.withColumn("salt", salt).repartition("key", "salt")
+    found = staged(dealt.sortWithinPartitions("key").select("key", "fp", "check").mapInArrow(_bucket_rows, _FOUND), "near-buckets")
     release(spark)
     pairs = found.where("not member").select("a", "b")
-    if many:
+    if hot is not None:
         led = rows.where(f"n is not null and fp <> lead.fp and bit_count(check ^ lead.check) <= {CHECK_BITS}")
         pairs = pairs.union(led.selectExpr("lead.fp as a", "fp as b"))
     pairs = staged(pairs.distinct(), "near-candidates")
-    first = staged(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-first")
-    linked = similar(docs, first)
+    linked = similar(docs, pairs)
     parts = pair_components(linked, "near-parts")
-    rest = _labelled(_labelled(pairs.join(first, ["a", "b"], "left_anti"), parts, "a", "la"), parts, "b", "lb").where("la <> lb").select("a", "b")
-    linked = linked.union(similar(docs, staged(rest, "near-rest")))
     members = found.where("member").selectExpr("a as fp", "b as check", "key")
     if members.isEmpty():
-        return linked
-    parts = pair_components(linked, "near-parts")
+        return parts
     apart = staged(_members_apart(members, parts).join(pairs, ["a", "b"], "left_anti"), "near-late")
-    return linked.union(similar(docs, apart))
+    if apart.isEmpty() or (late := similar(docs, apart)).isEmpty():
+        return parts
+    return pair_components(linked.union(late), "near-parts")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, fp, row, component_id, label), one for each row of ``docs``; fp is the text's node."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node().alias("fp"), numbered(docs).alias("row"))
-    return grouped(staged(rows, "near-rows"), links(docs), "near-parts")
+    return grouped(staged(rows, "near-rows"), components(docs), "near-parts")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

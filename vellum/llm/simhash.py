@@ -178,12 +178,11 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows (doc_id, row, fp, component_id, label), one for each row of ``docs``; label names the component among fingerprints."""
     rows = staged(fingerprints(docs), "simhash-prints")
-    return grouped(rows, links(rows.select("fp").distinct(), radius), "simhash-parts")
+    return grouped(rows, pair_components(links(rows.select("fp").distinct(), radius), "simhash-parts"), "simhash-parts")
 
 
-def grouped(rows: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
-    """``rows`` (doc_id, fp, ...) with the label that ``pairs`` (a, b) over fp give, and the component_id: the label's least doc_id."""
-    parts = pair_components(pairs, tag)
+def grouped(rows: DataFrame, parts: DataFrame, tag: str) -> DataFrame:
+    """``rows`` (doc_id, fp, ...) with the label that ``parts`` (node, label) give fp, and the component_id: the label's least doc_id."""
     release(rows.sparkSession)
     reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     own = staged(reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left"), tag)
