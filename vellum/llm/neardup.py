@@ -41,6 +41,8 @@ CHECK_BITS = 18
 LARGE = 16
 #: Bytes of texts that are hashed at once.
 GROUP_BYTES = 1 << 16
+#: Characters of texts whose shingle sets are held while pairs are verified.
+SLICE_CHARS = 1 << 22
 #: Bits of the number of bins that buckets are counted in, at most so many numbers reach the driver.
 BIN_BITS = 16
 _KEYED = "key long, fp long, check long"
@@ -211,16 +213,26 @@ def forest_of(fp: np.ndarray, print64: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a, b = SIMILAR
-    last: tuple[int | None, np.ndarray] = (None, np.zeros(0))
+    """The pairs (a, b, x, y) that are similar enough; a text is hashed once for all pairs of a slice that it stands in."""
+    most, least = SIMILAR
     for batch in batches:
-        keep = []
-        for left, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if last[0] != left:
-                last = (left, shingles(x.as_py()))
-            other = shingles(y.as_py())
-            both = len(np.intersect1d(last[1], other, assume_unique=True))
-            keep.append(b * both >= a * (len(last[1]) + len(other) - both))
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        keep: list[bool] = []
+        while len(keep) < len(a):
+            texts: dict[int, str | None] = {}
+            start, held = len(keep), 0
+            for end in range(start, len(a)):
+                for node_id, column in ((a[end], 2), (b[end], 3)):
+                    if node_id not in texts:
+                        texts[node_id] = batch.column(column)[end].as_py()
+                        held += len(texts[node_id] or "")
+                if held >= SLICE_CHARS:
+                    break
+            sets = dict(zip(texts, shingle_sets(list(texts.values())), strict=True))
+            for i in range(start, end + 1):
+                x, y = sets[a[i]], sets[b[i]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(least * both >= most * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
