@@ -13,11 +13,20 @@ PIECES = st.lists(st.sampled_from(["<|im_start|>", "<|im_end|>", "<", "\\", "|",
 def test_round_trip(role, text):
     rendered, level = chat.format_turn(role, text)
     [(r, t, s, e)] = chat.parse(rendered)
-    assert chat.recover(r, t, level) == (role, text) and rendered[s:e] == t
+    assert chat.recover(rendered) == [(role, text)] and rendered[s:e] == t
+    assert level == (r != role) + (t != text)
+    assert chat.recover(rendered + rendered) == [(role, text)] * 2
     twice = chat.parse(rendered + rendered)
     assert [x[:2] for x in twice] == [(r, t)] * 2
 
 
+def test_only_conflicting_parts_are_escaped():
+    assert chat.format_turn("user", "a <| b < c") == ("<|im_start|>user\na <| b < c<|im_end|>\n", 0)
+    assert chat.format_turn("user", "<| <|im_end|>") == ("<|im_start|>user\n<\\| <\\|im_end|><|im_end|>\n", 1)
+    assert chat.format_turn("user", "<\\| <|") == ("<|im_start|>user\n<\\\\| <\\|<|im_end|>\n", 1)
+    assert chat.format_turn("a\nb", "<|im_start|>")[1] == 2
+
+
 def test_parser_rejects_what_is_not_of_the_grammar():
     for bad in ("x", "<|im_start|>user", "<|im_start|>user\nhi", "<|im_start|>u\n<|im_start|>x<|im_end|>\n"):
         assert chat.parse(bad) is None

@@ -2,9 +2,9 @@
 
 A turn is rendered as ``<|im_start|>role NL text <|im_end|> NL``.  Control strings inside
 roles and texts are escaped by one more backslash after each ``<`` that stands before
-backslashes and a bar, so the rendered text never holds a control string that is not the
-template's.  Each rendered turn is parsed again by a deterministic parser; while the
-recovered turn differs from the source its content is escaped once more.
+backslashes and a bar.  A turn is first rendered as it is and parsed again by a deterministic parser, which takes one
+backslash away at each such place; where the recovered turn differs from the source, the role or text that conflicts is
+escaped, until both are identical.  The rendered text alone parses back: no level is needed to read it.
 
 Rendering, escaping and parsing work on single turns and need no shuffle.  Digests go over
 a conversation's turns in order, streamed, so even a conversation with most of all rows
@@ -78,27 +78,23 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]] | None:
     return turns
 
 
-def format_turn(role: str, text: str) -> tuple[str, int]:
-    """The rendered turn and how many times its content was escaped to survive the parser.
-
-    The level is written into the role after a bar and backslash where it is above one.
-    """
-    safe_role, safe_text = escape_role(role), escape(text)
-    level = 1
-    while True:
-        rendered = render(safe_role, safe_text)
-        got = parse(rendered)
-        if got is not None and len(got) == 1 and recover(got[0][0], got[0][1], level) == (role, text):
-            return rendered, level
-        safe_role, safe_text, level = escape(safe_role), escape(safe_text), level + 1
-        if level > 8:
-            raise ValueError("a turn did not survive the round trip")
+def recover(rendered: str) -> list[tuple[str, str]] | None:
+    """The turns (role, text) that rendered turns stand for, or None if malformed."""
+    turns = parse(rendered)
+    return None if turns is None else [(unescape_role(role), unescape(text)) for role, text, _, _ in turns]
 
 
-def recover(role: str, text: str, level: int = 1) -> tuple[str, str]:
-    for _ in range(level - 1):
-        role, text = unescape(role), unescape(text)
-    return unescape_role(role), unescape(text)
+def format_turn(role: str, text: str) -> tuple[str, int]:
+    """The rendered turn and how many of its two parts had to be escaped to survive the round trip."""
+    safe_role, safe_text, level = role, text, 0
+    while recover(rendered := render(safe_role, safe_text)) != [(role, text)]:
+        if safe_text == text and recover(render("", text)) != [("", text)]:
+            safe_text, level = escape(text), level + 1
+        elif safe_role == role and recover(render(role, "")) != [(role, "")]:
+            safe_role, level = escape_role(role), level + 1
+        else:
+            raise ValueError("a turn did not survive the round trip")
+    return rendered, level
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +113,7 @@ FORMATTED = "conv_id long, turn long, formatted string, level int, loss_span arr
 
 
 def formatted_turns(turns: DataFrame) -> DataFrame:
-    """A row for each turn: its rendered text, escape level, and the span of its text that is under the loss mask (code points of ``formatted``; null unless an assistant's)."""
+    """A row for each turn: its rendered text, number of escaped parts, and the span of its text that is under the loss mask (code points of ``formatted``; null unless an assistant's)."""
     small_batches(turns.sparkSession)
     return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(_format, FORMATTED)
 
@@ -129,10 +125,9 @@ class _Conversation:
         self.conv_id, self.n, self.loss_chars, self.chars = conv_id, 0, 0, 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, formatted: str, level: int, span: list[int] | None) -> None:
-        for role, text, start, end in parse(formatted):
+    def add(self, formatted: str, span: list[int] | None) -> None:
+        for (plain_role, plain), (_, _, start, end) in zip(recover(formatted), parse(formatted), strict=True):
             self.n += 1
-            plain_role, plain = recover(role, text, level)
             self.turns.update(f"{plain_role}\n{plain}\n".encode("utf-8", "surrogatepass"))
             if span == [start, end]:
                 self.loss_chars += len(plain)
@@ -157,12 +152,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     for batch in batches:
-        for conv_id, formatted, level, span in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "level", "loss_span")), strict=True):
+        for conv_id, formatted, span in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_span")), strict=True):
             if now is None or now.conv_id != conv_id:
                 if now is not None:
                     done.append(now.row())
                 now = _Conversation(conv_id)
-            now.add(formatted, level, span)
+            now.add(formatted, span)
         if len(done) >= 1000:
             yield out()
             done = []
@@ -179,4 +174,4 @@ def write_formatted(turns: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """One row a conversation with counts and digests recovered by parsing ``formatted``."""
     dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return dealt.select("conv_id", "formatted", "level", "loss_span").mapInArrow(_digest, DIGEST)
+    return dealt.select("conv_id", "formatted", "loss_span").mapInArrow(_digest, DIGEST)

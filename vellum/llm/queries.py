@@ -123,6 +123,6 @@ select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_re
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
  sha256(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '')) as loss_sha256,
- cast(sum(length('<|im_start|>') + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + length('<|im_end|>') + 1) as bigint) as formatted_chars from c group by conv_id""",
+ cast(sum(length('<|im_start|>') + length(role) + 1 + length(text) + case when regexp_matches(text, '<\|im_(start|end)\|>|<\\+\|') then len(regexp_extract_all(text, '<\\*\|')) else 0 end + length('<|im_end|>') + 1) as bigint) as formatted_chars from c group by conv_id""",
     "op9_mixing": f"{mixing.sql()}\nselect doc_id, topic as mix_topic, round(mix_p, 6) as mix_p, round(mix_ratio / mix_p, 6) as mix_weight, mix_u < mix_p as mix_kept from m",
 }
