@@ -46,6 +46,14 @@ def test_text_of_all_file_forms(spark):
     assert found[0, 1].width == 600 and found[0, 1].height == 800 and found[3, 0].repaired and not found[0, 0].is_encrypted
 
 
+def test_left_out_content_is_reported(spark):
+    many = build([text("a"), text("b")])
+    assert pdf.errors(frame(spark, many)).count() == 0
+    told = pdf.errors(frame(spark, many), max_runs=0).orderBy("error").collect()
+    assert [(r.doc_id, r.error) for r in told] == [(0, f"page {n}: content streams after the first 0 left out") for n in (0, 1)]
+    assert pdf.glyphs(frame(spark, many), max_runs=0).count() == 0 and pdf.glyphs(frame(spark, many)).count() == 2
+
+
 def test_fallback_pages_without_a_tree():
     m = Maker()
     m.add(Stream({}, text("lost")))

@@ -17,6 +17,8 @@ from . import pdffont
 from .document import Document, Page
 from .syntax import Name, Ref, Stream, operations
 
+# Limits of nested and of all content streams of a page, against streams that draw each other without end; where one
+# stops a page, ``Output.stopped`` says so and ``pdf.errors`` reports it.
 MAX_DEPTH = 32
 MAX_RUNS = 2000
 BLACK = 0
@@ -52,6 +54,8 @@ class Output:
     runs: int = 0
     new_obj: bool = False
     after_image: bool = False
+    #: Why content was left out, if some was.
+    stopped: str | None = None
 
     def next(self) -> int:
         self.seq += 1
@@ -91,8 +95,9 @@ def by_count(v: list[float]) -> int:
 
 
 class Interpreter:
-    def __init__(self, doc: Document, page: Page, cmap_folder: str | None = None, glyph_list: dict[str, int] | None = None, loaded: dict | None = None):
+    def __init__(self, doc: Document, page: Page, cmap_folder: str | None = None, glyph_list: dict[str, int] | None = None, loaded: dict | None = None, max_runs: int = MAX_RUNS, max_depth: int = MAX_DEPTH):
         self.doc, self.page, self.out = doc, page, Output()
+        self.max_runs, self.max_depth = max_runs, max_depth
         self.folder, self.glyph_list = cmap_folder, glyph_list
         self.loaded = {} if loaded is None else loaded
         self.to_page = page.matrix
@@ -201,7 +206,11 @@ class Interpreter:
 
     def _stream(self, data: bytes, resources: dict, state: State, depth: int) -> None:
         self.out.runs += 1
-        if depth > MAX_DEPTH or self.out.runs > MAX_RUNS:
+        if depth > self.max_depth:
+            self.out.stopped = f"content streams nested deeper than {self.max_depth} left out"
+            return
+        if self.out.runs > self.max_runs:
+            self.out.stopped = f"content streams after the first {self.max_runs} left out"
             return
         st, stack = state, []
         tm = tlm = Matrix()

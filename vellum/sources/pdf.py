@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from .document import Document
-from .interpreter import DRAWING_FIELDS, GLYPH_FIELDS, IMAGE_FIELDS, Interpreter
+from .interpreter import DRAWING_FIELDS, GLYPH_FIELDS, IMAGE_FIELDS, MAX_RUNS, Interpreter
 from .pdffont import Font, read_glyph_list
 
 GLYPHS = (
@@ -62,8 +62,8 @@ def _mapped(docs: DataFrame, ddl: str, rows: Callable[..., Iterator[tuple]]) ->
     return docs.select(F.col("doc_id").cast("long"), F.col("content").cast("binary"), *more).mapInArrow(run, ddl)
 
 
-def _pages_of(content: bytes, wanted: tuple[int, ...] | None, cmaps: str | None, names: str | None, share: tuple[int, int] = (0, 1)):
-    """Interpreted pages of a document; nothing if it cannot be read, no more pages after one that fails."""
+def _pages_of(content: bytes, wanted: tuple[int, ...] | None, cmaps: str | None, names: str | None, share: tuple[int, int] = (0, 1), max_runs: int = MAX_RUNS):
+    """Interpreted pages of a document; nothing if it cannot be read, and not the pages that fail."""
     try:
         doc = Document(content)
         pages, loaded, table = doc.pages(), {}, read_glyph_list(names) if names else None
@@ -72,21 +72,23 @@ def _pages_of(content: bytes, wanted: tuple[int, ...] | None, cmaps: str | None,
     for page in pages:
         if (wanted is None or page.number in wanted) and page.number % share[1] == share[0]:
             try:
-                yield page, Interpreter(doc, page, cmaps, table, loaded).run()
+                yield page, Interpreter(doc, page, cmaps, table, loaded, max_runs).run()
             except Exception:
                 continue
 
 
-def glyphs(docs: DataFrame, pages: tuple[int, ...] | None = None, cmap_folder: str | None = None, glyph_list: str | None = None, split: int = 1) -> DataFrame:
+def glyphs(docs: DataFrame, pages: tuple[int, ...] | None = None, cmap_folder: str | None = None, glyph_list: str | None = None, split: int = 1, max_runs: int = MAX_RUNS) -> DataFrame:
     """The glyph stream of (doc_id, content) rows, in top-down page space; only ``pages`` are interpreted.
 
+    A page's content streams after the first ``max_runs`` are left out; ``errors`` names such pages.
+
     With ``split`` above one, every document goes to so many tasks, each of which interprets its share of the
     pages: for few large documents.
     """
     if split > 1:
         dealt = docs.select("doc_id", "content", F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("part")).repartition(split, "part")
-        return _mapped(dealt, GLYPHS, lambda d, content, part: ((d, page.number, *g) for page, out in _pages_of(content, pages, cmap_folder, glyph_list, (part, split)) for g in out.glyphs))
-    return _mapped(docs, GLYPHS, lambda d, content: ((d, page.number, *g) for page, out in _pages_of(content, pages, cmap_folder, glyph_list) for g in out.glyphs))
+        return _mapped(dealt, GLYPHS, lambda d, content, part: ((d, page.number, *g) for page, out in _pages_of(content, pages, cmap_folder, glyph_list, (part, split), max_runs) for g in out.glyphs))
+    return _mapped(docs, GLYPHS, lambda d, content: ((d, page.number, *g) for page, out in _pages_of(content, pages, cmap_folder, glyph_list, max_runs=max_runs) for g in out.glyphs))
 
 
 def images(docs: DataFrame, pages: tuple[int, ...] | None = None) -> DataFrame:
@@ -140,19 +142,26 @@ def objects(docs: DataFrame) -> DataFrame:
     return _mapped(docs, OBJECTS, rows)
 
 
-def errors(docs: DataFrame) -> DataFrame:
-    """Documents, or pages of them, that cannot be read, with the reason."""
+def errors(docs: DataFrame, max_runs: int = MAX_RUNS) -> DataFrame:
+    """Documents that cannot be read, pages that fail and pages with content left out, each with the reason."""
 
     def rows(d: int, content: bytes):
         try:
             doc = Document(content)
             found = doc.pages()
-            if not found:
-                yield d, "no pages"
-            for page in found:
-                Interpreter(doc, page).run()
         except Exception as x:
             yield d, f"{type(x).__name__}: {x}"
+            return
+        if not found:
+            yield d, "no pages"
+        for page in found:
+            try:
+                stopped = Interpreter(doc, page, max_runs=max_runs).run().stopped
+            except Exception as x:
+                yield d, f"page {page.number}: {type(x).__name__}: {x}"
+                continue
+            if stopped:
+                yield d, f"page {page.number}: {stopped}"
 
     return _mapped(docs, ERRORS, rows)
 
