@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import bidi, dedupe, insert, layout
+from vellum.operators import bidi, dedupe, insert, layout, lookup
 from vellum.plans import documents as files, queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -134,3 +134,14 @@ def test_layout_needs_one_exchange(spark):
 def test_style_stand_ins(spark):
     row = spark.range(1).select(insert.synthetic_style(F.lit(True), F.lit(True), F.lit(10.0)).alias("s"), insert.line_start(F.lit(0.0), F.lit(100.0), F.lit(30.0), F.lit(True)).alias("x")).first()
     assert row.s.stroke == pytest.approx(0.3) and row.s.skew == pytest.approx(0.2125) and row.x == 70
+
+
+def test_bitmaps_of_ties_and_empty_ones(spark, monkeypatch):
+    """The first of equal templates wins, two empty bitmaps are equal, and the join finds the same."""
+    zeros = ", ".join(f"0 as {{0}}{i}" for i in range(1, 16))
+    glyphs = spark.sql(" union all ".join(f"select {g} as glyph_id, {c} as contours, {b} as b0, {zeros.format('b')}" for g, c, b in ((1, 0, 7), (2, 0, 0), (3, 1, 7), (4, 2, 7), (5, 1, 1 << 40))))
+    templates = spark.sql(" union all ".join(f"select {i}L as idx, '{ch}' as ch, {c} as contours, {t} as t0, {zeros.format('t')}" for i, ch, c, t in ((3, "c", 0, 7), (1, "a", 0, 3), (2, "b", 0, 7), (9, "z", 0, 0), (4, "d", 1, 5))))
+    want = [(1, 2, "b", 1.0), (2, 9, "z", 1.0), (3, 4, "d", 2 / 3)]
+    assert sorted(map(tuple, lookup.match_bitmaps(glyphs, templates).collect())) == want
+    monkeypatch.setattr(lookup, "SMALL_ROWS", 2)
+    assert sorted(map(tuple, lookup.match_bitmaps(glyphs, templates).collect())) == want
