@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import layout, output
-from ..sources import pdf, writer
+from ..sources import codec, encode, pdf, writer
 from ..sources.syntax import Name, Ref, Stream, write
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,33 +18,80 @@ LINES_PER_PAGE = 40
 LEADING = 14
 
 
-def document_bytes(text: str) -> bytes:
-    """A document that shows the lines of a text, forty a page, in a fixed-width face."""
+FORMS = ("plain", "packed", "damaged", "filtered", "drawn")
+
+
+def document_bytes(text: str, form: str = "plain") -> bytes:
+    """A document that shows the lines of a text, forty a page, in a fixed-width face.
+
+    ``packed``: objects in an object stream, cross references in a stream under prediction; ``damaged``: no cross
+    references at all; ``filtered``: contents under a chain of filters; ``drawn``: each page draws a form that holds its contents.
+    """
     lines = text.split("\n")
     objects: dict[int, object] = {1: {"Type": Name("Catalog"), "Pages": Ref(2)}, 3: {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Courier"), "Encoding": Name("WinAnsiEncoding")}}
+    fonts = {"Font": {"F1": Ref(3)}}
     kids = []
     for at in range(0, len(lines), LINES_PER_PAGE):
         body = b"BT /F1 10 Tf %d TL 20 780 Td\n" % LEADING + b"\n".join(write(x.encode("cp1252", "replace")) + b" Tj T*" for x in lines[at : at + LINES_PER_PAGE]) + b"\nET"
-        n = 4 + 2 * len(kids)
-        objects[n] = Stream({}, body)
-        objects[n + 1] = {"Type": Name("Page"), "Parent": Ref(2), "Contents": Ref(n)}
+        n = 4 + (3 if form == "drawn" else 2) * len(kids)
+        page: dict[str, object] = {"Type": Name("Page"), "Parent": Ref(2), "Contents": Ref(n)}
+        if form == "filtered":
+            objects[n] = Stream({"Filter": [Name(x) for x in CHAIN]}, encode.encode(body, list(CHAIN), [{}] * len(CHAIN)))
+        elif form == "drawn":
+            objects[n] = Stream({}, b"q 2 0 0 2 0 0 cm /Fm1 Do Q")
+            objects[n + 2] = Stream({"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": [0, 0, 600, 800], "Matrix": [0.5, 0, 0, 0.5, 0, 0], "Resources": fonts}, body)
+            page["Resources"] = {"XObject": {"Fm1": Ref(n + 2)}}
+        else:
+            objects[n] = Stream({}, body)
+        objects[n + 1] = page
         kids.append(Ref(n + 1))
-    objects[2] = {"Type": Name("Pages"), "Kids": kids, "Count": len(kids), "MediaBox": [0, 0, 600, 800], "Resources": {"Font": {"F1": Ref(3)}}}
-    out, places = bytearray(b"%PDF-1.4\n"), []
+    objects[2] = {"Type": Name("Pages"), "Kids": kids, "Count": len(kids), "MediaBox": [0, 0, 600, 800], "Resources": {} if form == "drawn" else fonts}
+    return _packed(objects) if form == "packed" else _plain(objects, damaged=form == "damaged")
+
+
+CHAIN = ("ASCII85Decode", "LZWDecode", "RunLengthDecode")
+
+
+def _placed(objects: dict[int, object]) -> tuple[bytearray, dict[int, int]]:
+    out, places = bytearray(b"%PDF-1.5\n"), {}
     for n in sorted(objects):
-        places.append(len(out))
+        places[n] = len(out)
         out += b"%d 0 obj\n" % n + write(objects[n]) + b"\nendobj\n"
+    return out, places
+
+
+def _plain(objects: dict[int, object], damaged: bool = False) -> bytes:
+    out, places = _placed(objects)
     at = len(out)
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(places) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+    if damaged:
+        return bytes(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(places) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places.values())
     return bytes(out + b"trailer\n" + write({"Size": len(places) + 1, "Root": Ref(1)}) + b"\nstartxref\n%d\n%%%%EOF\n" % at)
 
 
-def as_files(docs: DataFrame) -> DataFrame:
-    """(doc_id, content) of (doc_id, text) rows."""
+def _packed(objects: dict[int, object]) -> bytes:
+    """Objects that are no streams in an object stream, cross references as a stream."""
+    inner = {n: write(v) for n, v in objects.items() if not isinstance(v, Stream)}
+    starts = np.cumsum([0, *(len(x) + 1 for x in inner.values())]).tolist()
+    head = b" ".join(b"%d %d" % x for x in zip(inner, starts, strict=False)) + b" "
+    bundle = max(objects) + 1
+    streams = {n: v for n, v in objects.items() if isinstance(v, Stream)}
+    streams[bundle] = Stream({"Type": Name("ObjStm"), "N": len(inner), "First": len(head), "Filter": Name("FlateDecode")}, encode.encode(head + b" ".join(inner.values()), ["FlateDecode"], [{}]))
+    out, places = _placed(streams)
+    xref = bundle + 1
+    entry = {0: (0, 0, 0), xref: (1, len(out), 0)} | {n: (1, at, 0) for n, at in places.items()} | {n: (2, bundle, i) for i, n in enumerate(inner)}
+    rows = b"".join(bytes([kind]) + a.to_bytes(4, "big") + b.to_bytes(2, "big") for kind, a, b in (entry[n] for n in range(xref + 1)))
+    parms = {"Predictor": 12, "Columns": 7}
+    info = {"Type": Name("XRef"), "Size": xref + 1, "W": [1, 4, 2], "Root": Ref(1), "Filter": Name("FlateDecode"), "DecodeParms": parms}
+    return bytes(out + b"%d 0 obj\n" % xref + write(Stream(info, encode.encode(rows, ["FlateDecode"], [parms]))) + b"\nendobj\nstartxref\n%d\n%%%%EOF\n" % len(out))
+
+
+def as_files(docs: DataFrame, forms: tuple[str, ...] = FORMS[:1]) -> DataFrame:
+    """(doc_id, content) of (doc_id, text) rows; a document's number picks its form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([document_bytes(t or "") for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([document_bytes(t or "", forms[(d or 0) % len(forms)]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.binary())], ["doc_id", "content"])
 
     spread = docs.select("doc_id", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism)  # parsing costs far more than moving texts
     return spread.mapInArrow(run, "doc_id long, content binary")
@@ -81,11 +129,42 @@ def pdf_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(pdf.objects(files).groupBy("doc_id").agg(F.count("*").alias("n_objects")), "doc_id")
 
 
-QUERIES: dict[str, Query] = {"pdf_text": pdf_text, "pdf_redacted_text": pdf_redacted_text, "pdf_page_count": pdf_page_count}
+def pdf_form_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts read from files of five forms: object streams, lost cross references, chains of filters, nested forms."""
+    return _texts(as_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), FORMS))
+
+
+#: Filters and parameters that every text goes through.
+CODINGS: dict[str, tuple[list[str], list[dict]]] = {
+    **{name: ([name], [{}]) for name in encode.FILTERS},
+    "late LZWDecode": (["LZWDecode"], [{"EarlyChange": 0}]),
+    **{f"predictor {p}": (["FlateDecode"], [{"Predictor": p, "Columns": 16}]) for p in (2, 10, 11, 12, 13, 14)},
+    "chain": (["ASCIIHexDecode", "ASCII85Decode", "FlateDecode"], [{}, {}, {"Predictor": 15, "Columns": 5}]),
+}
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for coding, (names, parms) in CODINGS.items():
+            back = [codec.decode(encode.encode((t or "").encode("utf-8", "surrogatepass"), names, parms), names, parms)[0] for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([coding] * len(ids)), pa.array([len(x) for x in back], pa.int64()), pa.array(back, pa.binary())], ["doc_id", "coding", "n_bytes", "data"])
+
+
+def stream_codings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and digest of each text after it went through each filter and back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(doc_id as bigint) as doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+    return docs.mapInArrow(_coded, "doc_id long, coding string, n_bytes long, data binary").select("doc_id", "coding", "n_bytes", F.md5("data").alias("digest"))
+
+
+QUERIES: dict[str, Query] = {"pdf_text": pdf_text, "pdf_redacted_text": pdf_redacted_text, "pdf_page_count": pdf_page_count, "pdf_form_text": pdf_form_text, "stream_codings": stream_codings}
 
 ORACLES = {
     "pdf_text": f"with {_LINES} select doc_id, page_num, {_SHOWN} as text from placed group by all",
     "pdf_redacted_text": f"with {_LINES} select doc_id, page_num, {_SHOWN} as text from placed where not (page_num % 2 = 0 and line_no % {LINES_PER_PAGE} < 2) group by all",
     "pdf_page_count": f"""with n as (select doc_id, len(string_split(coalesce(text, ''), chr(10))) as n from documents)
 select doc_id, (n + {LINES_PER_PAGE - 1}) // {LINES_PER_PAGE} as n_pages, 600.0::double as width, 3 + 2 * ((n + {LINES_PER_PAGE - 1}) // {LINES_PER_PAGE}) as n_objects from n""",
+    "pdf_form_text": f"with {_LINES} select doc_id, page_num, {_SHOWN} as text from placed group by all",
+    "stream_codings": f"""select doc_id, coding, octet_length(encode(coalesce(text, '')))::bigint as n_bytes, md5(coalesce(text, '')) as digest
+from documents cross join (values {", ".join(f"('{c}')" for c in CODINGS)}) codings(coding)""",
 }

@@ -21,7 +21,7 @@ def flate(data: bytes) -> bytes:
             except zlib.error:
                 pass
             out = b"".join(parts)
-        if out:
+        if out or engine.eof:  # a whole stream may be empty
             return out
     return data
 
