@@ -100,6 +100,33 @@ def test_fake_bold_takes_the_last_colour(spark):
     assert got == [(0, True, 2), (2, False, 3)]
 
 
+def test_overstrikes_compare_with_the_last_kept(spark):
+    def left(*rows):
+        return sorted(r.seq for r in layout.drop_overstrikes(glyph_rows(spark, list(rows))).collect())
+
+    at = lambda x, y=0.0, **k: {"x": x, "y": y, **k}
+    assert left(at(0.0), at(0.6), at(1.2), at(1.8), at(2.4)) == [0, 2, 4]
+    assert left(at(0.0), at(0.9), at(-0.5), at(0.0), at(9.0)) == [0, 4]
+    assert left(*[at(0.0)] * 50, at(0.5), at(0.5, cp=98), at(0.5, cp=98)) == [0, 51]
+    assert left(at(0.0), at(0.0, dx=0.0, dy=1.0), at(0.1, size=20.0, dx=0.0, dy=1.0)) == [0, 1]
+    assert left(at(0.0), at(30.0, real_glyph=False), at(0.5), at(0.5, cp=0x301), at(0.5)) == [0, 1, 3, 4]
+    rng = random.Random(6)
+    rows = [at(rng.uniform(0, 3), 0.0, cp=rng.choice([97, 97, 98]), size=rng.choice([8.0, 12.0]), real_glyph=rng.random() < 0.9) for _ in range(300)]
+    kept, before, place = [], None, None
+    for i, r in enumerate(rows):
+        if r["real_glyph"] and before == r["cp"] and place is not None and abs(r["x"] - place) < 0.1 * r["size"]:
+            continue
+        kept.append(i)
+        before, place = r["cp"], r["x"] if r["real_glyph"] else place
+    assert left(*rows) == kept
+
+
+def test_riders_have_no_width_at_the_pen(spark):
+    rows = [{"x": 50.0, "y": 30.0}, {"x": 50.0, "y": 30.0, "cp": 0x301}, {"x": 55.0, "y": 30.0}]
+    got = layout.glyph_boxes(layout.with_lines(glyph_rows(spark, rows))).orderBy("seq").collect()
+    assert [(r.x0, r.x1, r.line_no) for r in got] == [(50.0, 55.0, 1), (55.0, 55.0, 1), (55.0, 60.0, 1)]
+
+
 def breaks(spark, rows, **options):
     found = layout.with_lines(glyph_rows(spark, rows), layout.Options(**options)).orderBy("seq").collect()
     return [(r.line_no, r.block_no, r.gap) for r in found]

@@ -60,23 +60,55 @@ def is_mark(c: Column) -> Column:
     return c.rlike(r"^\p{Mn}$")
 
 
+def is_rider() -> Column:
+    """Glyphs without an outline and marks: they join the current line and do not move the pen."""
+    return (~F.col("real_glyph")) | is_mark(F.col("c"))
+
+
 def drop_overstrikes(glyphs: DataFrame) -> DataFrame:
-    """Without glyphs struck again at nearly the place of the one just before."""
+    """Without glyphs struck again at nearly the place of the last one that was kept.
+
+    A glyph of another character, direction or writing mode than the one before it, or further from it than the limits of both
+    together, is kept whatever came before; it starts a chain.  A chain is folded in order.  Glyphs at exactly
+    the place and size of the one before are dropped first, so stacks do not make long chains.  Riders stay and are no place to compare with.
+    """
     w = in_order()
-    dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
-    again = (F.lag("cp").over(w) == F.col("cp")) & (F.hypot(dx, dy) < FAKE_BOLD_MAX_DIST * F.col("size"))
-    return glyphs.withColumn("_again", F.coalesce(again, F.lit(False))).where("not _again").drop("_again")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+
+    def last(c: str) -> Column:
+        return F.last(F.when(~F.col("_rider"), F.col(c)), ignorenulls=True).over(before)
+
+    rows = glyphs.withColumn("_rider", is_rider())
+    rows = rows.select("*", *[last(c).alias(f"_last_{c}") for c in ("x", "y", "size", "dx", "dy", "wmode")], F.lag("cp").over(w).alias("_last_cp"))
+    far = F.hypot(F.col("x") - F.col("_last_x"), F.col("y") - F.col("_last_y"))
+    limits = FAKE_BOLD_MAX_DIST * (F.col("size") + F.col("_last_size"))
+    straight = (F.col("dx") * F.col("_last_dx") + F.col("dy") * F.col("_last_dy") >= SAME_DIRECTION) & (F.col("wmode") == F.col("_last_wmode"))
+    struck = ~F.col("_rider") & (F.col("cp") == F.col("_last_cp")) & straight
+    rows = rows.withColumn("_chained", F.col("_rider") | F.coalesce(struck & (far < limits), F.lit(False)))
+    rows = rows.where(~F.coalesce(struck & (far == 0) & (F.col("size") == F.col("_last_size")), F.lit(False)))
+    rows = rows.withColumn("_chain", F.sum((~F.col("_chained")).cast("long")).over(running()))
+    in_chain = F.col("_chained") | F.coalesce(F.lead("_chained").over(w), F.lit(False))  # most glyphs stand alone and cost no list
+    rows = rows.withColumn("_place", F.when(~F.col("_rider") & in_chain, F.struct("x", "y", "size")))
+    rows = rows.withColumn("_places", F.collect_list("_place").over(running("_chain")))
+
+    def step(kept: Column, g: Column) -> Column:
+        again = F.coalesce(F.hypot(g["x"] - kept["x"], g["y"] - kept["y"]) < FAKE_BOLD_MAX_DIST * g["size"], F.lit(False))
+        return F.struct(F.when(again, kept["x"]).otherwise(g["x"]).alias("x"), F.when(again, kept["y"]).otherwise(g["y"]).alias("y"), again.alias("again"))
+
+    start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(False).alias("again"))
+    again = F.when(F.col("_chained") & ~F.col("_rider"), F.aggregate("_places", start, step)["again"]).otherwise(F.lit(False))
+    return rows.where(~again).select(*glyphs.columns)
 
 
 def with_breaks(glyphs: DataFrame, options: Options = Options()) -> DataFrame:
     """Adds ``new_line``, ``new_block`` and ``gap`` (0, 1, or 2 for a wide blank before the glyph).
 
-    Marks and glyphs without an outline join the current line and do not move the pen.
+    Marks and glyphs without an outline join the current line, without width at the pen, and do not move it; a blank after
+    them depends on their character and level.
     """
     w = in_order()
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rider = (~F.col("real_glyph")) | is_mark(F.col("c"))
-    base = glyphs.withColumn("_rider", rider)
+    base = glyphs.withColumn("_rider", is_rider())
 
     def last(value: Column) -> Column:
         return F.last(F.when(~F.col("_rider"), value), ignorenulls=True).over(before)
@@ -90,8 +122,8 @@ def with_breaks(glyphs: DataFrame, options: Options = Options()) -> DataFrame:
         last(F.col("dx")).alias("_dx"),
         last(F.col("dy")).alias("_dy"),
         last(F.col("wmode")).alias("_wmode"),
-        last(F.col("bidi")).alias("_bidi"),
-        last(F.col("cp")).alias("_cp"),
+        F.lag("bidi").over(w).alias("_bidi"),
+        F.lag("cp").over(w).alias("_cp"),
     )
     x, y, size = F.col("x") - F.col("_pen_x"), F.col("y") - F.col("_pen_y"), F.col("size")
     base = base.withColumn("_along", (x * F.col("dx") + y * F.col("dy")) / size).withColumn("_across", (y * F.col("dx") - x * F.col("dy")) / size)
@@ -123,7 +155,14 @@ def with_breaks(glyphs: DataFrame, options: Options = Options()) -> DataFrame:
     gap = F.when(blank, step).otherwise(0)
     indentable = ~first & ~rides & ~turned & off.between(BASE_MAX_DIST, PARAGRAPH_DIST) & F.col("new_obj") & (F.col("wmode") == 0)
     base = base.withColumn("_flip", F.coalesce(flipped & ~rides & ~turned & (off < BASE_MAX_DIST) & (F.col("_bidi") % 2 == 1), F.lit(False)))
-    columns = [F.when(F.col("_flip"), 3).otherwise(F.col("bidi")).alias("bidi") if c == "bidi" else F.col(c) for c in glyphs.columns]
+    riding = rides & ~first
+    placed = {
+        "bidi": F.when(F.col("_flip"), 3).otherwise(F.col("bidi")),
+        "x": F.when(riding, F.col("_pen_x")).otherwise(F.col("x")),
+        "y": F.when(riding, F.col("_pen_y")).otherwise(F.col("y")),
+        "adv": F.when(riding, F.lit(0.0)).otherwise(F.col("adv")),
+    }
+    columns = [placed[c].alias(c) if c in placed else F.col(c) for c in glyphs.columns]
     found = base.select(*columns, new_line.alias("new_line"), new_block.alias("new_block"), F.when(new_line | new_block, 0).otherwise(gap).alias("gap"), F.coalesce(indentable, F.lit(False)).alias("_indentable"))
     return indented(found)
 
