@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import layout, output
 from ..sources import codec, encode, pdf, writer
 from ..sources.syntax import Name, Ref, Stream, write
 
@@ -98,7 +97,7 @@ def as_files(docs: DataFrame, forms: tuple[str, ...] = FORMS[:1]) -> DataFrame:
 
 
 def _texts(files: DataFrame) -> DataFrame:
-    return output.page_text(layout.glyph_boxes(layout.laid_out(pdf.glyphs(files))))
+    return pdf.page_texts(files)
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:

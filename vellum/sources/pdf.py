@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ..operators import pages as arrays
+from ..operators.pages import Glyphs
 from .document import Document
 from .interpreter import DRAWING_FIELDS, GLYPH_FIELDS, IMAGE_FIELDS, MAX_RUNS, Interpreter
 from .pdffont import Font, read_glyph_list
@@ -91,6 +94,50 @@ def glyphs(docs: DataFrame, pages: tuple[int, ...] | None = None, cmap_folder: s
     return _mapped(docs, GLYPHS, lambda d, content: ((d, page.number, *g) for page, out in _pages_of(content, pages, cmap_folder, glyph_list, max_runs=max_runs) for g in out.glyphs))
 
 
+#: Glyphs of whole pages that are laid out at a time.
+RUN = 1 << 16
+
+
+def runs(batch: pa.RecordBatch, cmap_folder: str | None = None, glyph_list: str | None = None, max_runs: int = MAX_RUNS) -> Iterator[Glyphs]:
+    """The glyphs of (doc_id, content) rows as arrays, some whole pages at a time."""
+    held: list[tuple] = []
+    n = 0
+    for doc_id, content in zip(*batch.columns[:2], strict=True):
+        for page, out in _pages_of(content.as_py() or b"", None, cmap_folder, glyph_list, max_runs=max_runs):
+            if out.glyphs:
+                held.append((doc_id.as_py(), page.number, out.glyphs))
+                n += len(out.glyphs)
+            if n >= RUN:
+                yield _arrays(held)
+                held, n = [], 0
+    if held:
+        yield _arrays(held)
+
+
+_KINDS = {**dict.fromkeys(("seq", "cp", "color", "wmode", "bidi"), np.int64), **dict.fromkeys(("x", "y", "adv", "dx", "dy", "size", "asc", "dsc"), np.float64)}
+
+
+def _arrays(pages: list[tuple]) -> Glyphs:
+    columns = dict(zip(GLYPH_FIELDS, zip(*[g for _, _, of in pages for g in of], strict=True), strict=True))
+    place = {f: k for k, f in enumerate(dict.fromkeys(columns["font"]))}
+    columns["font"] = [place[f] for f in columns["font"]]
+    read = {c: np.array(v, np.int64 if c == "font" else _KINDS.get(c, bool)) for c, v in columns.items() if c != "c"}
+    page = np.repeat(np.arange(len(pages)), [len(of) for _, _, of in pages])
+    return Glyphs(np.array([d for d, _, _ in pages], np.int64), np.array([n for _, n, _ in pages], np.int64), list(place), page, read)
+
+
+def page_texts(docs: DataFrame) -> DataFrame:
+    """Texts of the pages of (doc_id, content) rows, in drawing order, laid out within the task that reads the document."""
+
+    def rows(g: Glyphs) -> list:
+        g = arrays.with_blanks(arrays.with_lines(arrays.drop_overstrikes(g)))
+        at = arrays.starts(g)
+        return [*g.keys(at), arrays.texts(g, at)]
+
+    ddl = "doc_id long, page_num long, text string"
+    return docs.select(F.col("doc_id").cast("long"), F.col("content").cast("binary")).mapInArrow(arrays.mapped(runs, rows, ["doc_id", "page_num", "text"]), ddl)
+
+
 def images(docs: DataFrame, pages: tuple[int, ...] | None = None) -> DataFrame:
     return _mapped(docs, IMAGES, lambda d, content: ((d, page.number, *i) for page, out in _pages_of(content, pages, None, None) for i in out.images))
 
