@@ -1,6 +1,8 @@
 import random
 
-from vellum.llm import neardup
+import pytest
+
+from vellum.llm import neardup, simhash
 
 from . import cases
 
@@ -75,3 +77,32 @@ def test_pipeline_drops_edited_copies(spark):
     edited = [i for (i, _), g in zip(rows, groups(rows), strict=True) if (prints[i] ^ prints[g]).bit_count() > 4]
     assert edited
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == sorted(want)
+
+
+def on_disk(spark):
+    """Shuffle files with their bytes."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName(): files.apply(i).length() for i in range(files.size())}
+
+
+def written(spark, before):
+    return sum(n for name, n in on_disk(spark).items() if name not in before)
+
+
+@pytest.fixture
+def wide(spark):
+    """Texts that do not compress, one of them with a near copy; no table is broadcast unasked."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(300))) for i in range(1000)]
+    rows.append((1000, rows[0][1] + " tail"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint(), sum(len(t) for _, t in rows)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_that_stay_are_not_shuffled(spark, wide):
+    docs, size = wide
+    kept = simhash.one_each(docs, neardup.near_duplicates(docs))
+    before = on_disk(spark)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(1000))
+    assert written(spark, before) < size / 10

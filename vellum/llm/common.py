@@ -22,6 +22,8 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 ARROW_RECORDS = 1000
 #: Bins that keys are counted in before hot ones are looked for, and tasks that a label's rows are dealt over.
 BINS, SALTS = 1 << 16, 16
+#: Bits of the map that says which rows a semi-join need not move; it is broadcast.
+MARK_BITS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,6 +97,20 @@ def hot_keys(rows: DataFrame, keys: list[str], limit: int, *more: Column) -> Dat
     return staged(some.groupBy(*keys).agg(F.count("*").alias("n"), *more).where(F.col("n") > limit), "hot-keys")
 
 
+def marks(keys: DataFrame, column: str) -> DataFrame:
+    """A map of ``MARK_BITS`` bits over a column of longs, as rows (_word, _bits): what has no bit is not among the keys."""
+    bit = F.pmod(F.xxhash64(column), F.lit(MARK_BITS))
+    bits = keys.select(F.shiftright(bit, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64L) as int))").alias("_bits"))
+    return staged(bits.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")), "marks")
+
+
+def marked(rows: DataFrame, column: str, found: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column: whether the bit of ``column`` is set in ``found``, a frame of ``marks``.  No row moves."""
+    word = F.shiftright(F.pmod(F.xxhash64(column), F.lit(MARK_BITS)), 6)
+    held = rows.withColumn("_word", word).join(F.broadcast(found), "_word", "left")
+    return held.withColumn(name, F.expr(f"coalesce(getbit(_bits, cast(pmod(xxhash64({column}), 64L) as int)), 0) = 1")).drop("_word", "_bits")
+
+
 def on_label(rows: DataFrame, found: DataFrame, label: str, spread: str) -> DataFrame:
     """``rows`` joined to ``found``, which has one row a label; a label's rows are dealt over ``SALTS`` tasks by the hash of ``spread``."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))

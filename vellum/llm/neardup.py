@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, pair_components, release, small_batches, staged
+from .common import discard, marked, marks, pair_components, release, small_batches, staged
 from .simhash import BLOCK, bit_counts, covering_masks, forest, grouped, numbered, one_each
 from .words import STEP, mixed, stretch, word_hashes
 
@@ -43,6 +43,9 @@ LARGE = 16
 GROUP_BYTES = 1 << 16
 #: Characters of texts whose shingle sets are held while pairs are verified.
 SLICE_CHARS = 1 << 22
+#: Bins in which the shingles of a text are counted for a bound on the similarity, and the bits of their number.
+SKETCH_BITS = 8
+SKETCH_BINS = 1 << SKETCH_BITS
 #: Bits of the number of bins that buckets are counted in, at most so many numbers reach the driver.
 BIN_BITS = 16
 _KEYED = "key long, fp long, check long"
@@ -236,15 +239,41 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text the size of its shingle set, and how many shingles fall into each of ``SKETCH_BINS`` bins."""
+    for batch in batches:
+        sets = list(shingle_sets(batch.column(1).to_pylist()))
+        bins = [np.bincount(mixed(found.view(np.uint64)) >> np.uint64(64 - SKETCH_BITS), minlength=SKETCH_BINS).astype("<u4") for found in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.clip(max=0xFFFF).astype("<u2").tobytes() for x in bins], pa.binary())], ["fp", "n", "bins"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, m, n, x, y) whose counts in bins allow the similarity: sets differ in no fewer shingles than their counts do."""
+    most, least = SIMILAR
+    for batch in batches:
+        m, n = (batch.column(i).to_numpy() for i in (2, 3))
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SKETCH_BINS).astype(np.int32) for i in (4, 5))
+        # |X n Y| / |X u Y| >= most / least, as |X u Y| = (m + n + differing) / 2
+        yield batch.select(["a", "b"]).filter(pa.array((least + most) * np.abs(x - y).sum(axis=1) <= (least - most) * (m + n)))
+
+
 def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the staged pairs (a, b) of nodes whose texts are similar enough."""
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    texts = docs.select(node().alias("fp"), "text").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
-    texts = staged(texts, "near-texts")
-    left, right = texts.selectExpr("fp as a", "text as x"), texts.selectExpr("fp as b", "text as y")
+    """Those of the staged pairs (a, b) of nodes whose texts are similar enough.
+
+    Counts of shingles in bins are met first; texts move only for pairs that these do not rule out.
+    """
+    wanted = staged(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct(), "near-wanted")
+    rows = marked(docs.select(node().alias("fp"), "text"), "fp", marks(wanted, "fp"), "_held").where("_held").drop("_held")
+    texts = staged(rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")), "near-texts")
+    discard(wanted)
     small_batches(docs.sparkSession)
-    found = staged(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "near-links")
-    discard(texts)
+    sketches = staged(texts.mapInArrow(_sketches, "fp long, n long, bins binary"), "near-sketches")
+    met = pairs.join(sketches.selectExpr("fp as a", "n as m", "bins as x"), "a").join(sketches.selectExpr("fp as b", "n", "bins as y"), "b")
+    possible = staged(met.select("a", "b", "m", "n", "x", "y").mapInArrow(_possible, "a long, b long"), "near-possible")
+    left, right = texts.selectExpr("fp as a", "text as x"), texts.selectExpr("fp as b", "text as y")
+    found = staged(possible.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "near-links")
+    for frame in (texts, sketches, possible):
+        discard(frame)
     release(docs.sparkSession)
     return found
 

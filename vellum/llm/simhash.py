@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from .common import hot_keys, on_label, pair_components, release, small_batches, staged
+from .common import hot_keys, marked, marks, on_label, pair_components, release, small_batches, staged
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -202,18 +202,19 @@ def one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with one row of each component of ``found`` (doc_id, row, component_id, label): the one whose doc_id names it.
 
     Of rows that share this doc_id, the one of the least content number stays; of equal rows, one.  A row without
-    doc_id stays only where its component has no doc_id at all.  Texts move once, to the
-    table of rows that stay, or not at all where that table is small.
+    doc_id stays only where its component has no doc_id at all.  Two maps of bits, of the rows that go or are
+    repeated and of those that stay, settle most rows where they lie; texts move only for rows with a bit in both.
     """
     found = staged(found, "near-found")
     named = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("row").alias("row"))
     loose = found.where("component_id is null").groupBy("label").agg(F.min("row").alias("row"))
     chosen = staged(named.select("row").union(loose.select("row")).select(F.col("row").alias("_row")), "near-kept")
-    twice = staged(found.groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("n")).where("n > 1").join(chosen, "_row", "left_semi").select("_row"), "near-twice")
-    kept = docs.withColumn("_row", numbered(docs)).join(chosen, "_row", "left_semi")
-    if twice.isEmpty():
-        return kept.drop("_row")
-    return kept.join(twice, "_row", "left_anti").unionByName(kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"])).drop("_row")
+    counts = found.groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("n")).join(chosen.withColumn("_stays", F.lit(True)), "_row", "left")
+    loss = marks(counts.where("_stays is null or n > 1"), "_row")
+    rows = marked(docs.withColumn("_row", numbered(docs)), "_row", loss, "_lost")
+    unsure = marked(rows.where("_lost"), "_row", marks(chosen, "_row"), "_stays").where("_stays").drop("_stays")
+    kept = unsure.join(chosen, "_row", "left_semi").dropDuplicates(["_row"])
+    return rows.where("not _lost").unionByName(kept).drop("_row", "_lost")
 
 
 def numbered(docs: DataFrame) -> Column:
