@@ -79,6 +79,24 @@ def test_pipeline_drops_edited_copies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == sorted(want)
 
 
+def test_group_that_links_leave_apart_costs_no_square(spark, monkeypatch):
+    """Edited copies of one text, many of them too far from all others: pairs met grow with the group, and no link is lost."""
+    rng, verify, met = random.Random(6), neardup.similar, []
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(800):
+        text = list(base)
+        for _ in range(rng.choice((1, 2, 5, 6, 7))):
+            text[rng.randrange(len(text))] = word()
+        rows.append((i, " ".join(text)))
+    rows += [(800 + i, f"{rows[40 * i][1]} {word()}") for i in range(20)]
+    monkeypatch.setattr(neardup, "similar", lambda texts, pairs: (met.append(pairs.count()), verify(texts, pairs))[1])
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == list(zip(range(len(rows)), groups(rows), strict=True))
+    assert len({c for _, c in got}) > 200
+    assert sum(met) < 50 * len(rows)
+
+
 def on_disk(spark):
     """Shuffle files with their bytes."""
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()

@@ -9,9 +9,11 @@ README gives.  A radius that covered them for sure would take over ten thousand
 
 Members of a bucket that differ in at most ``CHECK_BITS`` bits of a separate 64-bit print are candidates, and
 candidates link if the Jaccard similarity of their whole shingle sets is at least ``SIMILAR``; groups are
-what links connect.  Small buckets compare all members.  In large ones each is compared with a few
-leaders first, and after that only members that these links leave apart are met, so a large tight group costs in proportion to its size and no
-candidate between two groups is left out.  Buckets over ``BLOCK`` are dealt over many tasks.
+what links connect.  Of each text the candidate that it meets in most buckets is verified first.  Then small buckets compare all members
+that this leaves apart, and large ones each with a few leaders.  After that only members of large buckets that these links leave
+apart are met, where they share a rare shingle or their numbers of frequent shingles allow the similarity.  So a large group
+costs in proportion to its size, tight or not, unless many of its members have almost no rare shingle and yet are
+not similar, and no similar pair of candidates is left out.  Buckets over ``BLOCK`` are dealt over many tasks.
 
 Defined cases: words are split at white space, letters A to Z in lower case; a text of fewer
 than five words is one shingle, a null or blank text is the empty shingle; equal texts are one
@@ -38,7 +40,7 @@ SIMILAR = (4, 5)
 PARTS, PART_BITS, PART_RADIUS = 10, 40, 3
 CHECK_BITS = 18
 #: Texts that share a bucket and are met all by all; more than these go by leaders and by labels.
-LARGE = 16
+LARGE = 4
 #: Bytes of texts that are hashed at once.
 GROUP_BYTES = 1 << 16
 #: Characters of texts whose shingle sets are held while pairs are verified.
@@ -46,6 +48,8 @@ SLICE_CHARS = 1 << 22
 #: Bins in which the shingles of a text are counted for a bound on the similarity, and the bits of their number.
 SKETCH_BITS = 8
 SKETCH_BINS = 1 << SKETCH_BITS
+#: Shingles that at most so many texts have are rare; they are counted in bins, and these are dealt by blocks (bits of both numbers).
+RARE, RARE_BITS, RARE_BLOCK = 64, 24, 16
 #: Bits of the number of bins that buckets are counted in, at most so many numbers reach the driver.
 BIN_BITS = 16
 _KEYED = "key long, fp long, check long"
@@ -179,15 +183,18 @@ _FOUND = "member boolean, a long, b long, key long"
 
 
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b), a below b, and the members (a, with print b) of large buckets."""
+    """Candidates (a, b), a below b, with key 1 where their bucket is large, and the members (a, with print b) of large buckets."""
+    last = None
     for key, fp, check in _runs(batches):
-        if len(key) < 2:
+        if not len(key):
             continue
         new = np.concatenate(([True], key[1:] != key[:-1]))
         bucket, starts = np.cumsum(new) - 1, np.flatnonzero(new)
         sizes = np.diff(np.concatenate((starts, [len(key)])))
         small, print64 = sizes[bucket] <= LARGE, check.view(np.uint64)
-        left, right = [], []
+        member = ~small | (key == last)  # the rest of a bucket that was too large for one run is of a large one
+        last = key[-1]
+        left, right, few = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for d in range(1, LARGE):
             at = np.flatnonzero((bucket[d:] == bucket[:-d]) & small[:-d])
             if not len(at):
@@ -195,15 +202,16 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[np.bitwise_count(print64[at] ^ print64[at + d]) <= CHECK_BITS]
             left.append(fp[at])
             right.append(fp[at + d])
+            few += len(at)
         for b in np.flatnonzero(sizes > LARGE).tolist():
             s, e = int(starts[b]), int(starts[b] + sizes[b])
             for x, y in forest_of(fp[s:e], print64[s:e]):
                 left.append(x)
                 right.append(y)
         a, b = np.concatenate(left), np.concatenate(right)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(a), np.int64))], ["member", "a", "b", "key"])
-        if not small.all():
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int((~small).sum()), bool)), pa.array(fp[~small]), pa.array(check[~small]), pa.array(key[~small])], ["member", "a", "b", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array((np.arange(len(a)) >= few).astype(np.int64))], ["member", "a", "b", "key"])
+        if member.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(member.sum()), bool)), pa.array(fp[member]), pa.array(check[member]), pa.array(key[member])], ["member", "a", "b", "key"])
 
 
 def forest_of(fp: np.ndarray, print64: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -257,24 +265,26 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array((least + most) * np.abs(x - y).sum(axis=1) <= (least - most) * (m + n)))
 
 
-def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (fp, text) of the staged nodes ``fp``; other texts are left where they lie."""
+    rows = marked(docs.select(node().alias("fp"), "text"), "fp", marks(wanted, "fp"), "_held").where("_held").drop("_held")
+    return staged(rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")), "near-texts")
+
+
+def similar(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the staged pairs (a, b) of nodes whose texts are similar enough.
 
     Counts of shingles in bins are met first; texts move only for pairs that these do not rule out.
     """
-    wanted = staged(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct(), "near-wanted")
-    rows = marked(docs.select(node().alias("fp"), "text"), "fp", marks(wanted, "fp"), "_held").where("_held").drop("_held")
-    texts = staged(rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")), "near-texts")
-    discard(wanted)
-    small_batches(docs.sparkSession)
+    small_batches(pairs.sparkSession)
     sketches = staged(texts.mapInArrow(_sketches, "fp long, n long, bins binary"), "near-sketches")
     met = pairs.join(sketches.selectExpr("fp as a", "n as m", "bins as x"), "a").join(sketches.selectExpr("fp as b", "n", "bins as y"), "b")
     possible = staged(met.select("a", "b", "m", "n", "x", "y").mapInArrow(_possible, "a long, b long"), "near-possible")
     left, right = texts.selectExpr("fp as a", "text as x"), texts.selectExpr("fp as b", "text as y")
     found = staged(possible.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "near-links")
-    for frame in (texts, sketches, possible):
+    for frame in (sketches, possible):
         discard(frame)
-    release(docs.sparkSession)
+    release(pairs.sparkSession)
     return found
 
 
@@ -284,13 +294,80 @@ def _labelled(rows: DataFrame, parts: DataFrame, node: str, label: str) -> DataF
     return rows.join(known, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def _members_apart(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Candidates of large buckets that links leave apart; buckets of one label cost no pair."""
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By block of bins: the bins that shingles fall into, and how many do."""
+    for batch in batches:
+        if batch.num_rows:
+            bins, n = np.unique(_rare_bins(np.concatenate(list(shingle_sets(batch.column(1).to_pylist())))), return_counts=True)
+            blocks, starts = np.unique(bins >> RARE_BLOCK, return_index=True)
+            cuts = pa.array([*starts, len(bins)], pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(c.astype(np.int64))) for c in (bins, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), *lists], ["block", "bins", "n"])
+
+
+def _rare_bins(found: np.ndarray) -> np.ndarray:
+    return (mixed(found.view(np.uint64)) >> np.uint64(64 - RARE_BITS)).astype(np.int64)
+
+
+def _full_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By block: the bits of its bins that hold over ``RARE`` shingles."""
+    counts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, block in enumerate(batch.column(0).to_pylist()):
+            bins, n = (batch.column(c)[i].values.to_numpy() for c in (1, 2))
+            counts.setdefault(block, np.zeros(1 << RARE_BLOCK, np.int32))[bins & ((1 << RARE_BLOCK) - 1)] += n.astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array([np.packbits(n > RARE).tobytes() for n in counts.values()], pa.binary())], ["block", "bits"])
+
+
+def _rare_first(full: np.ndarray):
+    """Of each text the size of its set, the number of its shingles that may be frequent, and the rare ones among the first by rarity and number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most, least = SIMILAR
+        for batch in batches:
+            sizes, frequent, first = [], [], []
+            for found in shingle_sets(batch.column(1).to_pylist()):
+                bins = _rare_bins(found)
+                rare = found[full[bins >> 3] >> (7 - (bins & 7)).astype(np.uint8) & 1 == 0]
+                sizes.append(len(found))
+                frequent.append(len(found) - len(rare))
+                first.append(rare[: len(found) * (least - most) // least + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(frequent, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["fp", "n", "h", "first"])
+
+    return run
+
+
+def _members_apart(docs: DataFrame, members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Staged (texts, pairs): pairs of members of large buckets that links leave apart, without those that cannot be similar.
+
+    Two similar sets share one of their first shingles in any order of all shingles.  With rare ones before
+    frequent ones this is either a rare one, which at most ``RARE`` texts have, or all that they share is frequent;
+    then the numbers of frequent shingles bound the similarity, and only members whose numbers allow it with some
+    member of another label are met by pairs.  Buckets of one label cost no pair.
+    """
+    spark, (most, least) = docs.sparkSession, SIMILAR
     own = staged(_labelled(members, parts, "fp", "label"), "near-members")
     mixed = own.groupBy("key").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("key")
     own = staged(own.join(mixed, "key", "left_semi"), "near-apart")
-    met = own.alias("l").join(own.alias("r"), F.expr(f"l.key = r.key and l.fp < r.fp and l.label <> r.label and bit_count(l.check ^ r.check) <= {CHECK_BITS}"))
-    return met.selectExpr("l.fp as a", "r.fp as b").distinct()
+    nodes = staged(own.select("fp", "label").distinct(), "near-nodes")
+    if nodes.isEmpty():
+        return None
+    texts = texts_of(docs, nodes.select("fp"))
+    small_batches(spark)
+    blocks = texts.mapInArrow(_shingle_counts, "block long, bins array<long>, n array<long>").repartition("block").mapInArrow(_full_blocks, "block long, bits binary")
+    full = np.zeros((1 << (RARE_BITS - RARE_BLOCK), 1 << (RARE_BLOCK - 3)), np.uint8)
+    for block, bits in blocks.collect():  # a fixed number of bits
+        full[block] = np.frombuffer(bits, np.uint8)
+    facts = staged(texts.mapInArrow(_rare_first(full.ravel()), "fp long, n long, h long, first array<long>"), "near-facts")
+    rare = staged(facts.select("fp", F.explode("first").alias("shingle")).join(nodes, "fp"), "near-rare")
+    pairs = rare.alias("l").join(rare.alias("r"), F.expr("l.shingle = r.shingle and l.fp < r.fp and l.label <> r.label")).selectExpr("l.fp as a", "r.fp as b")
+    allowed = f"{most + least} * least(l.h, r.h) >= {most} * (l.n + r.n)"
+    heavy = staged(own.join(facts.where(f"{least} * h >= {most} * n").select("fp", "n", "h"), "fp"), "near-heavy")
+    kinds = staged(heavy.groupBy("key", "n", "h").agg(F.min("label").alias("least"), F.max("label").alias("most")), "near-kinds")
+    open_kinds = kinds.alias("l").join(kinds.alias("r"), F.expr(f"l.key = r.key and {allowed} and (l.least <> r.most or l.most <> r.least)"), "left_semi").select("key", "n", "h")
+    left = staged(heavy.join(open_kinds, ["key", "n", "h"], "left_semi"), "near-open")
+    met = left.alias("l").join(left.alias("r"), F.expr(f"l.key = r.key and l.fp < r.fp and l.label <> r.label and {allowed} and bit_count(l.check ^ r.check) <= {CHECK_BITS}"))
+    return texts, staged(pairs.union(met.selectExpr("l.fp as a", "r.fp as b")).distinct(), "near-late")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -309,20 +386,28 @@ def components(docs: DataFrame) -> DataFrame:
         dealt = rows.withColumn("salt", salt).repartition("key", "salt")
     found = staged(dealt.sortWithinPartitions("key").select("key", "fp", "check").mapInArrow(_bucket_rows, _FOUND), "near-buckets")
     release(spark)
-    pairs = found.where("not member").select("a", "b")
+    pairs = found.where("not member").select("a", "b", F.col("key").alias("large"))
     if hot is not None:
         led = rows.where(f"n is not null and fp <> lead.fp and bit_count(check ^ lead.check) <= {CHECK_BITS}")
-        pairs = pairs.union(led.selectExpr("lead.fp as a", "fp as b"))
-    pairs = staged(pairs.distinct(), "near-candidates")
-    linked = similar(docs, pairs)
+        pairs = pairs.union(led.selectExpr("least(lead.fp, fp) as a", "greatest(lead.fp, fp) as b", "1L as large"))
+    pairs = staged(pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("large").alias("large")), "near-candidates")
+    texts = texts_of(docs, staged(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct(), "near-wanted"))
+    best = pairs.union(pairs.selectExpr("b as a", "a as b", "n", "large")).groupBy("a").agg(F.max(F.struct("n", "b")).alias("best"))
+    first = staged(best.selectExpr("least(a, best.b) as a", "greatest(a, best.b) as b").distinct(), "near-first")
+    linked = similar(texts, first)
+    parts = pair_components(linked, "near-parts")
+    more = pairs.where("large = 0 or n > 1").select("a", "b")  # the others come with the members of their buckets
+    rest = staged(_labelled(_labelled(more, parts, "a", "left"), parts, "b", "right").where("left <> right").select("a", "b"), "near-rest")
+    linked = linked.union(similar(texts, rest))
+    discard(texts)
     parts = pair_components(linked, "near-parts")
     members = found.where("member").selectExpr("a as fp", "b as check", "key")
-    if members.isEmpty():
-        return parts
-    apart = staged(_members_apart(members, parts).join(pairs, ["a", "b"], "left_anti"), "near-late")
-    if apart.isEmpty() or (late := similar(docs, apart)).isEmpty():
+    if (apart := _members_apart(docs, members, parts)) is None:
         return parts
-    return pair_components(linked.union(late), "near-parts")
+    texts, late = apart
+    late = similar(texts, late.join(first.union(rest), ["a", "b"], "left_anti"))
+    discard(texts)
+    return parts if late.isEmpty() else pair_components(linked.union(late), "near-parts")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
