@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import Rect
 from ..sources import codec, encode, pdf, writer
 from ..sources.syntax import Name, Ref, Stream, write
 
@@ -85,19 +86,41 @@ def _packed(objects: dict[int, object]) -> bytes:
     return bytes(out + b"%d 0 obj\n" % xref + write(Stream(info, encode.encode(rows, ["FlateDecode"], [parms]))) + b"\nendobj\nstartxref\n%d\n%%%%EOF\n" % len(out))
 
 
+#: Files that are made at a time.
+BATCH = 100
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _written(forms: tuple[str, ...]) -> Step:
+    """Batches of (doc_id, content) of (doc_id, text); a document's number picks its form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, BATCH) for at in range(0, whole.num_rows, BATCH)):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([document_bytes(t or "", forms[(d or 0) % len(forms)]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.binary())], ["doc_id", "content"])
+
+    return run
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism)  # parsing costs far more than moving texts
+
+
 def as_files(docs: DataFrame, forms: tuple[str, ...] = FORMS[:1]) -> DataFrame:
     """(doc_id, content) of (doc_id, text) rows; a document's number picks its form."""
+    return _spread(docs).mapInArrow(_written(forms), "doc_id long, content binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([document_bytes(t or "", forms[(d or 0) % len(forms)]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.binary())], ["doc_id", "content"])
 
-    spread = docs.select("doc_id", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism)  # parsing costs far more than moving texts
-    return spread.mapInArrow(run, "doc_id long, content binary")
+def _texts(spark: SparkSession, sf_dir: str, *steps: Step) -> DataFrame:
+    """Page texts of files that these steps make of the documents, one after the other within a task: some files at a time, and none leaves it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in (*steps, pdf.text_batches):
+            batches = step(batches)
+        return batches
 
-def _texts(files: DataFrame) -> DataFrame:
-    return pdf.page_texts(files)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return _spread(docs).mapInArrow(run, pdf.PAGE_TEXTS)
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,14 +134,13 @@ _SHOWN = "string_agg(case when line like '%-' then left(line, length(line) - 1)
 
 def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts read from the files."""
-    return _texts(_files(spark, sf_dir))
+    return _texts(spark, sf_dir, _written(FORMS[:1]))
 
 
 def pdf_redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts after the first two lines of every even page are redacted and the files are written and read again."""
-    files = _files(spark, sf_dir)
-    zones = pdf.pages(files).where("page_num % 2 = 0").select("doc_id", "page_num", *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 1e9), ("y1", 20.0 + LEADING - 5))])
-    return _texts(writer.redact_documents(files, zones))
+    top = [Rect(0.0, 0.0, 1e9, 20.0 + LEADING - 5)]
+    return _texts(spark, sf_dir, _written(FORMS[:1]), writer.redactor(lambda page_num: top if page_num % 2 == 0 else []))
 
 
 def pdf_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +152,7 @@ def pdf_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pdf_form_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts read from files of five forms: object streams, lost cross references, chains of filters, nested forms."""
-    return _texts(as_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), FORMS))
+    return _texts(spark, sf_dir, _written(FORMS))
 
 
 #: Filters and parameters that every text goes through.

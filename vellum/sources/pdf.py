@@ -19,7 +19,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..operators import pages as arrays
 from ..operators.pages import Glyphs
 from .document import Document
-from .interpreter import DRAWING_FIELDS, GLYPH_FIELDS, IMAGE_FIELDS, MAX_RUNS, Interpreter
+from .interpreter import DRAWING_FIELDS, GLYPH_FIELDS, IMAGE_FIELDS, MAX_RUNS, Interpreter, columns, n_glyphs
 from .pdffont import Font, read_glyph_list
 
 GLYPHS = (
@@ -104,9 +104,9 @@ def runs(batch: pa.RecordBatch, cmap_folder: str | None = None, glyph_list: str
     n = 0
     for doc_id, content in zip(*batch.columns[:2], strict=True):
         for page, out in _pages_of(content.as_py() or b"", None, cmap_folder, glyph_list, max_runs=max_runs):
-            if out.glyphs:
-                held.append((doc_id.as_py(), page.number, out.glyphs))
-                n += len(out.glyphs)
+            if out.shown:
+                held.append((doc_id.as_py(), page.number, out.shown))
+                n += n_glyphs(out.shown)
             if n >= RUN:
                 yield _arrays(held)
                 held, n = [], 0
@@ -114,28 +114,29 @@ def runs(batch: pa.RecordBatch, cmap_folder: str | None = None, glyph_list: str
         yield _arrays(held)
 
 
-_KINDS = {**dict.fromkeys(("seq", "cp", "color", "wmode", "bidi"), np.int64), **dict.fromkeys(("x", "y", "adv", "dx", "dy", "size", "asc", "dsc"), np.float64)}
+def _arrays(pages: list[tuple]) -> Glyphs:
+    fonts, read = columns([x for _, _, shown in pages for x in shown])
+    page = np.repeat(np.arange(len(pages)), [n_glyphs(shown) for _, _, shown in pages])
+    return Glyphs(np.array([d for d, _, _ in pages], np.int64), np.array([n for _, n, _ in pages], np.int64), fonts, page, read)
 
 
-def _arrays(pages: list[tuple]) -> Glyphs:
-    columns = dict(zip(GLYPH_FIELDS, zip(*[g for _, _, of in pages for g in of], strict=True), strict=True))
-    place = {f: k for k, f in enumerate(dict.fromkeys(columns["font"]))}
-    columns["font"] = [place[f] for f in columns["font"]]
-    read = {c: np.array(v, np.int64 if c == "font" else _KINDS.get(c, bool)) for c, v in columns.items() if c != "c"}
-    page = np.repeat(np.arange(len(pages)), [len(of) for _, _, of in pages])
-    return Glyphs(np.array([d for d, _, _ in pages], np.int64), np.array([n for _, n, _ in pages], np.int64), list(place), page, read)
+PAGE_TEXTS = "doc_id long, page_num long, text string"
 
 
-def page_texts(docs: DataFrame) -> DataFrame:
-    """Texts of the pages of (doc_id, content) rows, in drawing order, laid out within the task that reads the document."""
+def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The function of ``page_texts`` on batches of (doc_id, content)."""
 
     def rows(g: Glyphs) -> list:
         g = arrays.with_blanks(arrays.with_lines(arrays.drop_overstrikes(g)))
         at = arrays.starts(g)
         return [*g.keys(at), arrays.texts(g, at)]
 
-    ddl = "doc_id long, page_num long, text string"
-    return docs.select(F.col("doc_id").cast("long"), F.col("content").cast("binary")).mapInArrow(arrays.mapped(runs, rows, ["doc_id", "page_num", "text"]), ddl)
+    return arrays.mapped(runs, rows, ["doc_id", "page_num", "text"])(batches)
+
+
+def page_texts(docs: DataFrame) -> DataFrame:
+    """Texts of the pages of (doc_id, content) rows, in drawing order, laid out within the task that reads the document."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("content").cast("binary")).mapInArrow(text_batches, PAGE_TEXTS)
 
 
 def images(docs: DataFrame, pages: tuple[int, ...] | None = None) -> DataFrame:
