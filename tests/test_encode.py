@@ -51,3 +51,16 @@ def test_rows_under_prediction_byte_by_byte():
     assert codec.unpredict(encode.png_rows(data, 16, 2), 12, columns=16) == data
     assert codec.ascii85(encode.ascii85(data)) == data
     assert time.process_time() - began < 0.5  # row by row over a second
+
+
+def test_lzw_of_a_table_that_stays_full_and_of_damage():
+    """Codes are read in parts: one after the other from a full table that is never cleared, and up to what is no code."""
+    codes, bits, width = [rng.randrange(256) for _ in range(9000)], "", 9
+    for k, code in enumerate([256, *codes, 257]):
+        bits += format(code, f"0{width}b")
+        width = 9 + sum(min(4096, 257 + k) + 1 >= n for n in (512, 1024, 2048)) if k else 9
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert codec.lzw(data) == bytes(codes)
+    assert [len(part) for _, part in codec._lzw_runs(data, 1)] == [0, 4096, 4096, 808]
+    assert codec.lzw(data[:1000]) == bytes(codes)[: len(codec.lzw(data[:1000]))] and len(codec.lzw(data[:1000])) > 700
+    assert codec.lzw(bytes([0x80, 0x10, 0x60, 0x7F, 0xFF])) == b"A"  # 256, 65, then a code beyond the table
